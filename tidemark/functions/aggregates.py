@@ -24,8 +24,17 @@ def strict_sum_if(condition: Column, column: Column) -> Column:
     return F.when(F.count_if(condition & column.isNull()) > 0, F.lit(None)).otherwise(total)
 
 
-def sum_metrics(metrics: Iterable[str]) -> list[Column]:
-    return [sum_or_zero(F.col(metric)).cast("bigint").alias(metric) for metric in metrics]
+def sum_metrics(metrics: Iterable[str], condition: str | None = None, prefix: str = "") -> list[Column]:
+    """Whole-number sums of several columns, optionally over the rows where a boolean column holds."""
+    value = "if({c}, {m}, 0)" if condition else "{m}"
+    return [
+        F.expr(f"cast(coalesce(sum({value.format(c=condition, m=m)}), 0) as bigint) as {prefix}{m}") for m in metrics
+    ]
+
+
+def sum_where(metrics: Iterable[str], condition: str, prefix: str) -> list[Column]:
+    """Sums over the rows where a boolean column holds; NULL when there is no such row."""
+    return [F.expr(f"sum(if({condition}, {m}, null)) as {prefix}{m}") for m in metrics]
 
 
 def melt(
@@ -66,11 +75,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Iterable[str], how:
 
 
 def require_unique(df: DataFrame, key: str, label: str) -> DataFrame:
-    """One row per key, or the job fails: a repeated dimension row would multiply counts downstream."""
-    others = [c for c in df.columns if c != key]
-    checked = df.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"), *[F.first(c).alias(c) for c in others])
-    guard = F.when(
-        F.col("_copies") > 1,
-        F.raise_error(F.concat(F.lit(f"{label}: repeated key "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))),
-    ).otherwise(F.col(key))
-    return checked.select(guard.alias(key), *others)
+    """The same table, failing the job when a key repeats: a repeated dimension row would multiply counts.
+
+    The check runs beside the query as a scalar subquery over keys only, so the table itself keeps its size
+    estimate and Spark can still choose to broadcast it.
+    """
+    keys = df.select(key).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
+    repeated = keys.where(F.col("_copies") > 1).agg(F.count(F.lit(1))).scalar()
+    guard = F.when(repeated > 0, F.raise_error(F.lit(f"{label}: repeated {key}"))).otherwise(F.col(key))
+    return df.withColumn(key, guard)

@@ -73,25 +73,28 @@ def attainment(states: DataFrame, targets: DataFrame, indicators: Iterable[Indic
             "avance_total": F.col(f"{i.metric}_observadas"),
             "avance_modelo": F.col(f"{i.metric}_nowcast"),
             "meta_total": F.col(i.target),
-            "pct_avance_entidad": _share(F.col(f"{i.metric}_observadas"), F.col(i.target)),
-            "pct_modelo_entidad": _share(F.col(f"{i.metric}_nowcast"), F.col(i.target)),
         }
         for i in indicators
     }
-    return _valid(melt(joined, ["entidad"], cells, "indicador"))
+    long = melt(joined, ["entidad"], cells, "indicador")
+    goal = F.col("meta_total")
+    return _valid(
+        long.select(
+            "*",
+            _share(F.col("avance_total"), goal).alias("pct_avance_entidad"),
+            _share(F.col("avance_modelo"), goal).alias("pct_modelo_entidad"),
+        )
+    )
 
 
 def attainment_observed(states: DataFrame, indicators: Iterable[Indicator] = INDICATORS) -> DataFrame:
     """Observed share only, from state totals that already carry their targets."""
     cells = {
-        i.name: {
-            "avance_total": F.col(i.metric).cast("double"),
-            "meta_total": F.col(i.target),
-            "pct_avance_entidad": _share(F.col(i.metric), F.col(i.target)),
-        }
-        for i in indicators
+        i.name: {"avance_total": F.col(i.metric).cast("double"), "meta_total": F.col(i.target)} for i in indicators
     }
-    return _valid(melt(states, ["entidad"], cells, "indicador"))
+    long = melt(states, ["entidad"], cells, "indicador")
+    share = _share(F.col("avance_total"), F.col("meta_total"))
+    return _valid(long.withColumn("pct_avance_entidad", share))
 
 
 def light(value: Column, expected: Column | float, thresholds: tuple[float, float, float]) -> Column:

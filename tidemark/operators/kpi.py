@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.aggregates import inline_table, melt, sum_or_zero
+from tidemark.functions.aggregates import inline_table, melt, sum_metrics
 from tidemark.functions.numbers import (
     growth_on_current,
     growth_on_reference,
@@ -37,31 +37,54 @@ def growth_column(measure: str, year: int, params: ReportParams) -> str:
     return f"var_{params.current_year}_vs_{year}_{measure}"
 
 
-def growth_wide(
-    table: DataFrame, measures: Sequence[str], params: ReportParams, keep_values: bool = False
-) -> DataFrame:
-    """One row: growth of every measure against each earlier recent year, measured on the current year."""
-    year = F.col("anio").cast("string")
-    spread = table.agg(
+def growth_long(table: DataFrame, measures: Sequence[str], params: ReportParams) -> DataFrame:
+    """Per measure: current value and growth against each earlier recent year, measured on the current year.
+
+    Columns are indicador, valor and var_1, var_2, ... for the reference years, nearest first.
+    """
+    years = (params.current_year, *params.growth_reference_years)
+    long = melt(
+        table.where(F.col("anio").cast("int").isin(*years)),
+        ["anio"],
+        {m: {"_value": F.col(m).cast("double")} for m in measures},
+        "indicador",
+    )
+    per_year = [F.max(F.when(F.col("anio").cast("int") == y, F.col("_value"))).alias(f"_{y}") for y in years]
+    growth = [
+        growth_on_current(F.col(f"_{params.current_year}"), F.col(f"_{y}")).alias(f"var_{i}")
+        for i, y in enumerate(params.growth_reference_years, start=1)
+    ]
+    spread = long.groupBy("indicador").agg(*per_year)
+    return spread.select("indicador", F.col(f"_{params.current_year}").alias("valor"), *growth)
+
+
+def growth_wide(growth: DataFrame, measures: Sequence[str], params: ReportParams) -> DataFrame:
+    """``growth_long`` as one row with a column per measure and reference year."""
+    return growth.agg(
         *[
-            F.max(F.when(year == str(y), F.col(m))).alias(f"_{m}_{y}")
+            F.expr(f"max(if(indicador = '{m}', var_{i}, null)) as {growth_column(m, y, params)}")
             for m in measures
-            for y in (params.current_year, *params.growth_reference_years)
+            for i, y in enumerate(params.growth_reference_years, start=1)
         ]
     )
-    growth = [
-        growth_on_current(F.col(f"_{m}_{params.current_year}"), F.col(f"_{m}_{y}")).alias(growth_column(m, y, params))
+
+
+def growth_from_wide(row: DataFrame, measures: Sequence[str], params: ReportParams) -> DataFrame:
+    """A row of values and growth columns as ``growth_long``."""
+    years = list(enumerate(params.growth_reference_years, start=1))
+    cells = {
+        m: {
+            "valor": F.col(m).cast("double"),
+            **{f"var_{i}": F.col(growth_column(m, y, params)) for i, y in years},
+        }
         for m in measures
-        for y in params.growth_reference_years
-    ]
-    values = [F.col(f"_{m}_{params.current_year}").cast("double").alias(m) for m in measures] if keep_values else []
-    return spread.select(*values, *growth)
+    }
+    return melt(row, [], cells, "indicador")
 
 
-def growth_ytd(shares: DataFrame, params: ReportParams) -> DataFrame:
-    """The same growth on as-occurred totals to the cut-off's day."""
-    renamed = shares.select("anio", *[F.col(f"avance_{m}").alias(m) for m in METRICS])
-    return growth_wide(renamed, METRICS, params)
+def to_cutoff(shares: DataFrame) -> DataFrame:
+    """The totals to the cut-off's day of a share-of-year table, under the measures' own names."""
+    return shares.select("anio", *[F.col(f"avance_{m}").alias(m) for m in METRICS])
 
 
 def growth_ref_base(table: DataFrame, value: str, params: ReportParams) -> DataFrame:
@@ -75,42 +98,33 @@ def growth_ref_base(table: DataFrame, value: str, params: ReportParams) -> DataF
     return by_series.withColumn("crecimiento", growth)
 
 
-def kpi_cards(
-    row: DataFrame, params: ReportParams, titles: Mapping[str, str] = CARD_TITLES, suffix: str = ""
-) -> DataFrame:
-    """One card per measure from a row holding values and growth columns: number, deltas, accent."""
-    near, far = params.growth_reference_years[:2]
-
-    def cell(position: int, measure: str, title: str) -> dict[str, Column]:
-        first, second = F.col(growth_column(measure, near, params)), F.col(growth_column(measure, far, params))
-        return {
-            "orden": F.lit(position).cast("bigint"),
-            "titulo": F.lit(title),
-            "valor": F.col(measure).cast("double"),
-            "valor_txt": F.coalesce(thousands(F.col(measure)), F.lit("—")),
-            "delta_1": delta_label(first),
-            "icono_1": delta_icon(first),
-            "delta_2": delta_label(second),
-            "icono_2": delta_icon(second),
-            "acento": accent(first, second),
-        }
-
-    cells = {f"{m}{suffix}": cell(i, m, t) for i, (m, t) in enumerate(titles.items(), start=1)}
-    return melt(row, [], cells, "indicador")
+def kpi_cards(growth: DataFrame, titles: Mapping[str, str] = CARD_TITLES, suffix: str = "") -> DataFrame:
+    """One card per titled measure of a growth table: number, two deltas, accent."""
+    catalogue = inline_table(
+        growth.sparkSession,
+        ("indicador", "orden", "titulo"),
+        [(m, i, title) for i, (m, title) in enumerate(titles.items(), start=1)],
+    )
+    first, second = F.col("var_1"), F.col("var_2")
+    # The catalogue has one row per title.
+    return growth.join(F.broadcast(catalogue), "indicador").select(
+        F.concat(F.col("indicador"), F.lit(suffix)).alias("indicador"),
+        F.col("orden").cast("bigint").alias("orden"),
+        "titulo",
+        "valor",
+        F.coalesce(thousands(F.col("valor")), F.lit("—")).alias("valor_txt"),
+        delta_label(first).alias("delta_1"),
+        delta_icon(first).alias("icono_1"),
+        delta_label(second).alias("delta_2"),
+        delta_icon(second).alias("icono_2"),
+        accent(first, second).alias("acento"),
+    )
 
 
-def delta_text(growth: DataFrame, measures: Sequence[str], params: ReportParams) -> DataFrame:
-    """Two-line growth sentence per measure."""
+def delta_text(growth: DataFrame, params: ReportParams) -> DataFrame:
+    """Two-line growth sentence per measure of a growth table."""
     near, far = params.growth_reference_years[:2]
-    cells = {
-        m: {
-            "texto": delta_lines(
-                F.col(growth_column(m, near, params)), near, F.col(growth_column(m, far, params)), far
-            )
-        }
-        for m in measures
-    }
-    return melt(growth, [], cells, "indicador")
+    return growth.select("indicador", delta_lines(F.col("var_1"), near, F.col("var_2"), far).alias("texto"))
 
 
 def progress_summary(values: DataFrame, totals: DataFrame, params: ReportParams) -> DataFrame:
@@ -164,31 +178,23 @@ def indicator_growth_table(
     """
     current, previous = params.current_year, params.years[-2]
     year = year_in_text(F.col("anio"))
-    wide = table.agg(
-        *[
-            sum_or_zero(F.when(year == y, F.col(c))).cast("double").alias(f"_{c}_{y}")
-            for c in labels
-            for y in (previous, current)
-        ]
+    wide = table.select((year == previous).alias("_p"), (year == current).alias("_c"), *labels).agg(
+        *sum_metrics(labels, condition="_p", prefix="_p_"), *sum_metrics(labels, condition="_c", prefix="_c_")
     )
-
-    def growth(column: str) -> Column:
-        before, now = F.col(f"_{column}_{previous}"), F.col(f"_{column}_{current}")
-        rate = F.bround(F.try_divide(now - before, before) * 100, 0)
-        sign = F.when(rate > 0, F.lit("+")).otherwise(F.lit(""))
-        return F.coalesce(F.concat(sign, rate.cast("bigint").cast("string"), F.lit(" %")), F.lit(NO_DATA))
-
-    def header(y: int) -> Column:
-        return F.concat(F.lit("Enero-\n"), sentence_case(F.lit(month)), F.lit(f" {y}"))
-
     cells = {
-        label: {
-            "periodo_anterior": header(previous),
-            "valor_anterior": F.col(f"_{column}_{previous}"),
-            "periodo_actual": header(current),
-            "valor_actual": F.col(f"_{column}_{current}"),
-            "crecimiento_anual": growth(column),
-        }
-        for column, label in labels.items()
+        label: {"valor_anterior": F.col(f"_p_{c}").cast("double"), "valor_actual": F.col(f"_c_{c}").cast("double")}
+        for c, label in labels.items()
     }
-    return melt(wide, [], cells, "indicador")
+    before, now = F.col("valor_anterior"), F.col("valor_actual")
+    rate = F.bround(F.try_divide(now - before, before) * 100, 0)
+    sign = F.when(rate > 0, F.lit("+")).otherwise(F.lit(""))
+    growth = F.coalesce(F.concat(sign, rate.cast("bigint").cast("string"), F.lit(" %")), F.lit(NO_DATA))
+    header = F.concat(F.lit("Enero-\n"), sentence_case(F.lit(month)))
+    return melt(wide, [], cells, "indicador").select(
+        "indicador",
+        F.concat(header, F.lit(f" {previous}")).alias("periodo_anterior"),
+        "valor_anterior",
+        F.concat(header, F.lit(f" {current}")).alias("periodo_actual"),
+        "valor_actual",
+        growth.alias("crecimiento_anual"),
+    )

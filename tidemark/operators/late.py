@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.aggregates import inline_table, melt
+from tidemark.functions.aggregates import inline_table, melt, sum_where
 from tidemark.functions.dates import between_days, in_month, in_years, up_to_same_day
 from tidemark.functions.numbers import floor_at_zero, growth_on_current, growth_on_reference
 from tidemark.operators.nowcast import nowcast_total
@@ -36,14 +36,9 @@ def _first_year_limit(params: ReportParams) -> Column:
 
 def _per_year(rows: DataFrame, registered: Column, occurred: Column) -> DataFrame:
     """Both totals of every measure per year from one scan; NULL where no row qualifies."""
-    wide = rows.groupBy(F.year("fecha").alias("anio")).agg(
-        *[F.sum(F.when(registered, F.col(m))).alias(f"_reg_{m}") for m in METRICS],
-        *[F.sum(F.when(occurred, F.col(m))).alias(f"_occ_{m}") for m in METRICS],
-    )
-    cells = {
-        m: {"registrado": F.col(f"_reg_{m}").cast("double"), "ocurrido": F.col(f"_occ_{m}").cast("double")}
-        for m in METRICS
-    }
+    marked = rows.select(F.year("fecha").alias("anio"), registered.alias("_r"), occurred.alias("_o"), *METRICS)
+    wide = marked.groupBy("anio").agg(*sum_where(METRICS, "_r", "_reg_"), *sum_where(METRICS, "_o", "_occ_"))
+    cells = {m: {"registrado": F.col(f"_reg_{m}"), "ocurrido": F.col(f"_occ_{m}")} for m in METRICS}
     return melt(wide, ["anio"], cells, "procedimiento")
 
 
@@ -64,14 +59,15 @@ def _decompose(per_year: DataFrame, projection: DataFrame, params: ReportParams,
     keys = ["anio", "procedimiento"]
     year = F.col("anio")
     is_current, is_first = year == params.current_year, year == params.first_year
+    # Both broadcast sides are bounded: a row per spine year and measure, and a row per measure.
     base = (
-        spine.join(per_year, keys, "left")
-        .join(projection, keys, "left")
-        .withColumn("valor_fecha_insert", F.coalesce(F.col("registrado"), F.lit(0.0)))
+        spine.join(F.broadcast(per_year), keys, "left")
+        .join(F.broadcast(projection), keys, "left")
+        .withColumn("valor_fecha_insert", F.coalesce(F.col("registrado").cast("double"), F.lit(0.0)))
         .withColumn(
             "valor_total",
             F.coalesce(
-                F.when(is_current, F.col("proyeccion")).otherwise(F.col("ocurrido")), F.col("valor_fecha_insert")
+                F.when(is_current, F.col("proyeccion")).otherwise(F.col("ocurrido").cast("double")), F.col("valor_fecha_insert")
             ),
         )
         .withColumn(

@@ -84,10 +84,10 @@ def ytd_share_of_year(rows: DataFrame, params: ReportParams) -> DataFrame:
     rows = rows.where(in_years(F.col("fecha"), params.recent_years))
     # A year without the cut-off's day (29 February) has no share and is left out.
     rows = rows.where(same_day_in_year(F.year("fecha"), params.cutoff).isNotNull())
-    reached = up_to_same_day(F.col("fecha"), params.cutoff)
+    rows = rows.withColumn("_reached", up_to_same_day(F.col("fecha"), params.cutoff))
     totals = rows.groupBy(F.year("fecha").alias("anio")).agg(
-        *[sum_or_zero(F.col(m)).cast("bigint").alias(f"total_{m}") for m in METRICS],
-        *[sum_or_zero(F.when(reached, F.col(m))).cast("bigint").alias(f"avance_{m}") for m in METRICS],
+        *sum_metrics(METRICS, prefix="total_"),
+        *sum_metrics(METRICS, condition="_reached", prefix="avance_"),
     )
     shares = [ratio(F.col(f"avance_{m}"), F.col(f"total_{m}")).alias(f"pct_avance_{m}") for m in METRICS]
     return totals.select("*", *shares)
@@ -165,25 +165,19 @@ def window_summaries(
         .select(F.year(event).alias("anio"), "_hit.periodo", "_hit.a_tiempo", *METRICS)
     )
     wide = tagged.groupBy("periodo", "anio").agg(
-        *[F.sum(m).alias(f"_all_{m}") for m in METRICS],
-        *[sum_or_zero(F.when(F.col("a_tiempo"), F.col(m))).alias(f"_reg_{m}") for m in METRICS],
+        *sum_metrics(METRICS, prefix="_all_"), *sum_metrics(METRICS, condition="a_tiempo", prefix="_reg_")
     )
+    cells = {m: {"valor": F.col(f"_all_{m}"), "_reg": F.col(f"_reg_{m}")} for m in METRICS}
     forced = F.col("anio").isin(*force_equal_years) if force_equal_years else F.lit(False)
-    long = melt(
-        wide,
-        ["periodo", "anio"],
-        {
-            m: {
-                "valor": F.col(f"_all_{m}").cast("bigint"),
-                "valor_fecha_insert": F.when(forced, F.col(f"_all_{m}"))
-                .otherwise(F.col(f"_reg_{m}"))
-                .cast("bigint"),
-            }
-            for m in METRICS
-        },
+    in_time = F.when(forced, F.col("valor")).otherwise(F.col("_reg"))
+    return melt(wide, ["periodo", "anio"], cells, "procedimiento").select(
+        "periodo",
+        "anio",
         "procedimiento",
+        "valor",
+        in_time.alias("valor_fecha_insert"),
+        (F.col("valor") - in_time).alias("diferencia"),
     )
-    return long.withColumn("diferencia", F.col("valor") - F.col("valor_fecha_insert"))
 
 
 def period_summary(

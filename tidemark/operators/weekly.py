@@ -31,14 +31,10 @@ def weekly_registered(rows: DataFrame, params: ReportParams) -> DataFrame:
 def weekly_long(weekly: DataFrame, params: ReportParams) -> DataFrame:
     """One row per series, year and week up to the report week, with the weekly target."""
     cells = {
-        SERIES_LABELS[m]: {
-            "total": F.col(m).cast("double"),
-            "meta_semanal": F.lit(params.weekly_target(m)),
-        }
-        for m in METRICS
+        SERIES_LABELS[m]: {"total": F.col(m), "meta_semanal": F.lit(params.weekly_target(m))} for m in METRICS
     }
     kept = weekly.where(F.col("semana") <= params.week_number)
-    return melt(kept, ["anio", "semana"], cells, "procedimiento")
+    return melt(kept, ["anio", "semana"], cells, "procedimiento").withColumn("total", F.col("total").cast("double"))
 
 
 def weekly_series(real: DataFrame, modelled: DataFrame, params: ReportParams) -> DataFrame:

@@ -97,18 +97,25 @@ class Report:
     def kpi_wide(self) -> DataFrame:
         return kpi.kpi_wide(self.ytd_by_year(), self.nowcast_daily(), self.persons_by_year(), self.params)
 
-    def growth_wide(self, keep_values: bool = False) -> DataFrame:
-        return kpi.growth_wide(self.kpi_wide(), ALL_MEASURES, self.params, keep_values)
+    def growth(self, measures=ALL_MEASURES) -> DataFrame:
+        return kpi.growth_long(self.kpi_wide(), measures, self.params)
+
+    def growth_wide(self) -> DataFrame:
+        return kpi.growth_wide(self.growth(), ALL_MEASURES, self.params)
+
+    def growth_to_cutoff(self) -> DataFrame:
+        """Growth of as-occurred totals to the cut-off's day."""
+        return kpi.growth_long(kpi.to_cutoff(self.ytd_share_of_year()), METRICS, self.params)
 
     def growth_ytd(self) -> DataFrame:
-        return kpi.growth_ytd(self.ytd_share_of_year(), self.params)
+        return kpi.growth_wide(self.growth_to_cutoff(), METRICS, self.params)
 
     def kpi_cards(self) -> DataFrame:
-        return kpi.kpi_cards(self.growth_wide(keep_values=True), self.params)
+        return kpi.kpi_cards(self.growth())
 
     def delta_text(self) -> DataFrame:
-        occurred = kpi.delta_text(self.growth_wide(), METRICS, self.params)
-        to_cutoff = kpi.delta_text(self.growth_ytd(), METRICS, self.params)
+        occurred = kpi.delta_text(self.growth(METRICS), self.params)
+        to_cutoff = kpi.delta_text(self.growth_to_cutoff(), self.params)
         return occurred.withColumn("vista", F.lit("proyectado")).unionByName(
             to_cutoff.withColumn("vista", F.lit("al_corte"))
         )

@@ -87,3 +87,46 @@ DAILY_FACT = StructType(
         *[StructField(metric, LongType(), True) for metric in METRICS],
     ]
 )
+
+LINEITEM = _struct(
+    l_orderkey=LongType(),
+    l_partkey=LongType(),
+    l_suppkey=LongType(),
+    l_linenumber=IntegerType(),
+    l_quantity=DoubleType(),
+    l_extendedprice=DoubleType(),
+    l_discount=DoubleType(),
+    l_tax=DoubleType(),
+    l_returnflag=StringType(),
+    l_linestatus=StringType(),
+    l_shipdate=TimestampNTZType(),
+)
+
+ORDERS = _struct(
+    o_orderkey=LongType(),
+    o_custkey=LongType(),
+    o_orderstatus=StringType(),
+    o_totalprice=DoubleType(),
+    o_orderdate=TimestampNTZType(),
+    o_orderpriority=StringType(),
+)
+
+CUSTOMER = _struct(
+    c_custkey=LongType(),
+    c_name=StringType(),
+    c_nationkey=IntegerType(),
+    c_acctbal=DoubleType(),
+    c_mktsegment=StringType(),
+)
+
+SUPPLIER = _struct(s_suppkey=LongType(), s_name=StringType(), s_nationkey=IntegerType(), s_acctbal=DoubleType())
+
+NATION = _struct(n_nationkey=IntegerType(), n_name=StringType(), n_regionkey=IntegerType())
+
+STAR_TABLES = {
+    "lineitem": LINEITEM,
+    "orders": ORDERS,
+    "customer": CUSTOMER,
+    "supplier": SUPPLIER,
+    "nation": NATION,
+}

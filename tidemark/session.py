@@ -17,6 +17,8 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.parquet.filterPushdown", "true")
+        # Call-site capture costs several round trips to the JVM per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
