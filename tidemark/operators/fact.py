@@ -235,6 +235,11 @@ def fact_current(inputs: ReportInputs, params: ReportParams) -> DataFrame:
     )
 
 
+def without_facility(rows: DataFrame) -> DataFrame:
+    """Activity with facilities added up: one row per event date and registration date, NULL kept apart."""
+    return rows.groupBy("fecha", "fecha_insert").agg(*sum_metrics(METRICS))
+
+
 def bitemporal_summary(rows: DataFrame) -> DataFrame:
     """Activity per event date and registration date, facilities added up. Unregistered means same day."""
     registered = F.coalesce(F.col("fecha_insert"), F.col("fecha"))

@@ -342,10 +342,10 @@ def indicator_growth_table(r: Report) -> DataFrame:
 @_query
 def number_labels(r: Report) -> DataFrame:
     """Scaled-up visit totals per facility in every number format."""
-    rows = r.activity()
-    per_facility = rows.groupBy("clues").agg((F.sum("consultas_totales") * 1375).alias("consultas_totales"))
-    # A single number over the whole table, read as a scalar subquery.
-    whole = rows.agg(F.sum("consultas_totales") * 1375).scalar()
+    visits = (F.sum("consultas_totales") * 1375).alias("consultas_totales")
+    per_facility = r.facility_activity().groupBy("clues").agg(visits)
+    # The grand total is one number, read as a scalar subquery over the same per-facility totals.
+    whole = per_facility.agg(F.sum("consultas_totales")).scalar()
     return labels.number_labels(per_facility, "clues", "consultas_totales", whole)
 
 

@@ -19,19 +19,36 @@ ALL_MEASURES = (*METRICS, *PERSON_METRICS)
 class Report:
     """Every report dataset as a lazy DataFrame over one set of inputs.
 
-    ``rows`` is the activity the datasets are computed from: by default the contributions straight from the
-    record scans, or the daily fact once it has been written.
+    By default datasets are computed straight from the record scans. Once written, ``fact_table`` (partitioned
+    by ``anio``) serves the datasets that look at facilities and ``summary_table`` (the same without
+    facilities) all others.
     """
 
-    def __init__(self, inputs: ReportInputs, params: ReportParams, rows: DataFrame | None = None):
+    def __init__(
+        self,
+        inputs: ReportInputs,
+        params: ReportParams,
+        fact_table: DataFrame | None = None,
+        summary_table: DataFrame | None = None,
+    ):
         self.inputs = inputs
         self.params = params
-        self._rows = rows
+        self._fact_table = fact_table
+        self._summary_table = summary_table
 
     def activity(self, years=None) -> DataFrame:
-        if self._rows is not None:
-            return self._rows
-        return fact.activity(self.inputs, self.params, years)
+        """Activity for datasets that do not look at facilities."""
+        if self._summary_table is not None:
+            return self._summary_table
+        return self.facility_activity(years)
+
+    def facility_activity(self, years=None) -> DataFrame:
+        if self._fact_table is None:
+            return fact.activity(self.inputs, self.params, years)
+        rows = self._fact_table
+        if years is not None:
+            rows = rows.where(F.col("anio").isin(*years))  # prunes partitions
+        return rows.drop("anio")
 
     # -- dimensions, targets, nowcast ----------------------------------------------------------------
 
@@ -161,7 +178,7 @@ class Report:
         return attainment.axis_stats(self.attainment(), self.params)
 
     def state_year_registered(self) -> DataFrame:
-        rows = self.activity(self.params.recent_years)
+        rows = self.facility_activity(self.params.recent_years)
         return attainment.state_year_registered(rows, self.targets(), self.params)
 
     def attainment_observed(self) -> DataFrame:
@@ -178,7 +195,7 @@ class Report:
 
     def _surgery_progress(self, hospitals_only: bool) -> DataFrame:
         return ranking.surgery_progress(
-            self.activity([self.params.current_year]),
+            self.facility_activity([self.params.current_year]),
             self.facilities(),
             self.targets(),
             self.inputs.excluded,
@@ -231,8 +248,8 @@ SECTIONS: dict[str, Callable[[Report], DataFrame]] = {
 def write_fact(inputs: ReportInputs, params: ReportParams, path: str) -> DataFrame:
     """Write the daily fact partitioned by event year and read it back.
 
-    Sections then prune years by partition and never repeat the record scans; a lost executor costs a
-    re-read, not a recomputation.
+    Later steps prune years by partition and never repeat the record scans; a lost executor costs a re-read,
+    not a recomputation.
     """
     daily = fact.fact_daily(inputs, params).withColumn("anio", F.year("fecha"))
     daily.write.mode("overwrite").partitionBy("anio").parquet(path)
@@ -242,10 +259,16 @@ def write_fact(inputs: ReportInputs, params: ReportParams, path: str) -> DataFra
 def write_report(
     inputs: ReportInputs, params: ReportParams, root: str, sections: dict[str, Callable] | None = None
 ) -> list[str]:
-    """Build the fact once, then write every section; returns the section names."""
+    """Write the fact and its facility-free summary once, then every section; returns the section names.
+
+    Most sections need no facilities and read the summary, whose size depends on the days covered, not on
+    the number of records.
+    """
     sections = SECTIONS if sections is None else sections
-    rows = write_fact(inputs, params, f"{root.rstrip('/')}/fact_daily")
-    report = Report(inputs, params, rows)
+    base = root.rstrip("/")
+    rows = write_fact(inputs, params, f"{base}/fact_daily")
+    fact.without_facility(rows).write.mode("overwrite").parquet(f"{base}/fact_summary")
+    report = Report(inputs, params, rows, rows.sparkSession.read.parquet(f"{base}/fact_summary"))
     for name, build in sections.items():
         write_section(build(report), root, params.cutoff, name)
     return list(sections)
