@@ -1,0 +1,247 @@
+"""The daily fact: code resolution, visit rules, cut-off at load, joins, file scans."""
+
+from __future__ import annotations
+
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.helpers import TableInputs, day, moment, rows
+from tidemark import schemas
+from tidemark.operators import fact
+from tidemark.params import METRICS, ReportParams
+from tidemark.plans.report import Report
+from tidemark.sources.files import FileInputs, ReportPaths, read_table, scan_union_by_name, union_by_name
+from tidemark.sources.starschema import PARAMS, StarSchemaInputs
+
+P = ReportParams(cutoff=date(2026, 6, 10))
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def catalog(spark):
+    data = [
+        ("XXIMB1", "XXSSA1", "MICHOACAN DE OCAMPO", "HG UNO", "Hospital"),
+        ("XXIMB2", "XXSSA3", "Yucatán", "HG DOS", "Hospital"),
+        ("XXIMB4", None, None, "HG CUATRO", None),
+    ]
+    return spark.createDataFrame(data, schemas.FACILITY_CATALOG)
+
+
+def history(spark, codes, year=2023):
+    data = [(code, year, date(year, 5, 1), 1, None, 0, 0, 0) for code in codes]
+    return spark.createDataFrame(data, schemas.HISTORY_CUBE)
+
+
+def visits(spark, entries):
+    data = [(c, moment(f), moment(i), t, p) for c, f, i, t, p in entries]
+    return spark.createDataFrame(
+        data, "clues string, fecha_consulta timestamp_ntz, fecha_insert timestamp_ntz, tipo_consulta string, periodo int"
+    )
+
+
+def episodes(spark, entries):
+    data = [(c, moment(f), moment(i), p) for c, f, i, p in entries]
+    return spark.createDataFrame(
+        data, "clues string, fecha_egreso timestamp_ntz, fecha_insert timestamp_ntz, periodo int"
+    )
+
+
+def test_facility_codes(spark, catalog):
+    resolved = fact.resolve_facility_codes(history(spark, ["XXIMB9", "XXSSA1", "XXSSA2", None]), catalog)
+    assert rows(resolved, "clues") == [("XXIMB1",), ("XXIMB9",)]
+
+
+def test_history_uses_clean_catalogue_and_skips_the_overlap_year(spark, catalog):
+    cube = history(spark, ["XXSSA1", "XXSSA3"]).unionByName(history(spark, ["XXSSA1"], year=2024))
+    inputs = TableInputs(catalog=catalog, history=cube)
+    # XXSSA3 belongs to an excluded state, so its code is unknown to the cleaned catalogue.
+    assert rows(fact.fact_history(inputs, P), "clues", "fecha") == [("XXIMB1", date(2023, 5, 1))]
+
+
+def test_repeated_legacy_code_fails(spark, catalog):
+    double = catalog.unionByName(catalog)
+    with pytest.raises(Exception, match="facility crosswalk"):
+        fact.resolve_facility_codes(history(spark, ["XXSSA1"]), double).collect()
+
+
+def test_dimension_states(spark, catalog):
+    assert rows(fact.dim_facility(catalog, P), "clues_imb", "entidad") == [("XXIMB1", "Michoacan"), ("XXIMB4", None)]
+
+
+def test_exclusion_keeps_null(spark):
+    frame = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    listed = spark.createDataFrame([("a",), (None,)], "x string")
+    assert rows(fact.exclude_values(frame, "k", ["a"])) == [(None,), ("b",)]
+    assert rows(fact.exclude_listed(frame, "k", listed, "x")) == [(None,), ("b",)]
+
+
+def test_visit_types_by_file_year(spark):
+    frame = visits(
+        spark,
+        [
+            ("A", "2025-03-01 10:00", "2025-03-02 00:00", "GENERALES", 2025),
+            ("A", "2025-03-01 11:00", "2025-03-02 00:00", "Especialidad", 2025),
+            ("A", "2025-03-01 12:00", "2025-03-02 00:00", None, 2025),
+            ("A", "2026-03-01 10:00", "2026-03-02 00:00", "Generales", 2026),
+            ("A", "2026-03-01 10:00", "2026-03-02 00:00", "General", 2026),
+            ("A", "2026-03-01 10:00", "2026-06-11 00:00", "General", 2026),
+            ("A", "2026-03-01 10:00", None, "General", 2026),
+        ],
+    )
+    assert rows(fact.daily_visits(frame, P)) == [
+        ("A", date(2025, 3, 1), date(2025, 3, 2), 3, 1, 1),
+        ("A", date(2026, 3, 1), date(2026, 3, 2), 2, 1, 0),
+    ]
+
+
+def test_registration_text_is_parsed_leniently(spark):
+    frame = spark.createDataFrame(
+        [("A", moment("2025-01-01 08:00"), "2025-01-03 09:30:00", 2025), ("A", moment("2025-01-01 08:00"), "?", 2025)],
+        "clues string, fecha_egreso timestamp_ntz, fecha_insert string, periodo int",
+    )
+    assert rows(fact.daily_discharges(frame, P)) == [
+        ("A", date(2025, 1, 1), None, 1),
+        ("A", date(2025, 1, 1), date(2025, 1, 3), 1),
+    ]
+
+
+@pytest.fixture(scope="module")
+def small_inputs(spark, catalog):
+    return TableInputs(
+        catalog=catalog,
+        history=history(spark, ["XXSSA1"]),
+        visits=visits(
+            spark,
+            [("A", "2025-03-01 10:00", None, "general", 2025)] * 5
+            + [("B", "2025-03-04 10:00", "2025-03-05 00:00", "general", 2025), ("B", None, None, "general", 2025)],
+        ),
+        surgeries=episodes(spark, [("A", "2025-03-01 10:00", None, 2025)] * 2),
+        discharges=episodes(spark, [("C", "2025-03-09 10:00", "2025-03-09 12:00", 2025)]),
+    )
+
+
+def test_union_and_full_join_agree(spark, small_inputs):
+    by_union, by_join = fact.fact_daily(small_inputs, P), fact.fact_daily_fulljoin(small_inputs, P)
+    columns = ["clues", "fecha", "fecha_insert", *METRICS]
+    expected = [
+        ("A", date(2025, 3, 1), None, 5, 5, 0, 2, 0),
+        ("B", date(2025, 3, 4), date(2025, 3, 5), 1, 1, 0, 0, 0),
+        ("C", date(2025, 3, 9), date(2025, 3, 9), 0, 0, 0, 0, 1),
+        ("XXIMB1", date(2023, 5, 1), None, 1, 0, 0, 0, 0),
+    ]
+    assert rows(by_union, *columns) == rows(by_join, *columns) == expected
+
+
+def test_activity_years_prune_sources(spark, small_inputs):
+    assert rows(fact.activity(small_inputs, P, [2023]), "clues") == [("XXIMB1",)]
+    recent = fact.activity(small_inputs, P, [2025, 2026])
+    assert recent.count() == 9
+    assert "XXSSA" not in recent._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fact_current_binds_the_cutoff(spark):
+    v = visits(
+        spark,
+        [
+            ("A", "2026-06-01 10:00", "2026-06-10 09:00", "General", 2026),
+            ("A", "2026-06-01 10:00", "2026-06-11 09:00", "General", 2026),
+            ("A", "2025-06-01 10:00", "2025-06-10 09:00", "General", 2025),
+        ],
+    )
+    e = episodes(spark, [("A", "2026-06-01 10:00", "2026-06-10 10:00", 2026)])
+    current = fact.fact_current(TableInputs(visits=v, surgeries=e, discharges=e), P)
+    assert rows(current) == [("A", date(2026, 6, 1), date(2026, 6, 10), 1, 1, 0, 1, 1)]
+
+
+def test_joint_records_equal_separate_files(spark):
+    joint = StarSchemaInputs(spark, SF_DIR)
+    separate = TableInputs(
+        catalog=joint.catalog,
+        history=joint.history,
+        visits=joint.visits,
+        surgeries=joint.surgeries,
+        discharges=joint.discharges,
+    )
+    assert joint.joint_records is not None and separate.joint_records is None
+    a, b = fact.fact_daily(joint, PARAMS), fact.fact_daily(separate, PARAMS)
+    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+
+
+def test_reports_agree_on_contributions_and_on_the_written_tables(spark, tmp_path):
+    inputs = StarSchemaInputs(spark, SF_DIR)
+    table = fact.fact_daily(inputs, PARAMS).withColumn("anio", F.year("fecha"))
+    table.write.partitionBy("anio").parquet(str(tmp_path / "fact"))
+    table = spark.read.parquet(str(tmp_path / "fact"))
+    direct, written = Report(inputs, PARAMS), Report(inputs, PARAMS, table, fact.without_facility(table))
+    for build in (
+        Report.late_registration_ytd,
+        Report.late_registration_month,
+        Report.weekly_series_registered,
+        Report.state_year_registered,
+        Report.ytd_share_of_year,
+    ):
+        assert rows(build(direct)) == rows(build(written))
+
+
+def test_union_by_name_scan(spark, tmp_path):
+    spark.createDataFrame([("A", "x")], "clues string, tipo string").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([("B", 3)], "clues string, n int").write.parquet(str(tmp_path / "b"))
+    scanned = scan_union_by_name(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert rows(scanned, "clues", "tipo", "n") == [("A", "x", None), ("B", None, 3)]
+    drifted = union_by_name(
+        [spark.createDataFrame([(1,)], "n int"), spark.createDataFrame([(2, "y")], "n long, t string")]
+    )
+    assert rows(drifted, "n", "t") == [(1, None), (2, "y")]
+
+
+def test_file_inputs(spark, tmp_path):
+    def save(name, frame, csv=False):
+        path = str(tmp_path / (f"{name}.csv" if csv else name))
+        frame.write.option("header", "true").csv(path) if csv else frame.write.parquet(path)
+        return path
+
+    visit_rows = spark.createDataFrame(
+        [("A", moment("2025-02-01 08:00"), moment("2025-02-02 00:00"), "General")], schemas.VISITS
+    )
+    untyped = visit_rows.drop("tipo_consulta")
+    # The current year's registration dates arrive as text.
+    text_dates = visit_rows.select(
+        "clues", F.lit("2026-02-01").cast("timestamp_ntz").alias("fecha_consulta"),
+        F.lit("2026-02-03 10:00:00").alias("fecha_insert"), "tipo_consulta",
+    )
+    stay = spark.createDataFrame([("A", moment("2025-02-01 08:00"), moment("2025-02-02 00:00"))], schemas.EPISODES)
+    catalog_rows = spark.createDataFrame([("A", "B", "JALISCO", "HG A", "Hospital")], schemas.FACILITY_CATALOG)
+    target_rows = spark.createDataFrame([("A", "JALISCO", 10.0, 5.0, None, 2.0)], schemas.FACILITY_TARGETS)
+    nowcast_rows = spark.createDataFrame([(day("2026-01-01"), "general", 1.5, 1.0)], schemas.NOWCAST_NATIONAL)
+    paths = ReportPaths(
+        catalog=save("catalog", catalog_rows, csv=True),
+        targets=save("targets", target_rows, csv=True),
+        history=save("history", history(spark, ["XIMB1"])),
+        visits={2025: [save("v25a", visit_rows), save("v25b", untyped)], 2026: [save("v26", text_dates)]},
+        surgeries={2025: [save("s25", stay)]},
+        discharges={2025: [save("d25", stay)]},
+        persons=save("persons", spark.createDataFrame([], schemas.PERSON_COUNTS)),
+        nowcast_national=save("national", nowcast_rows),
+        nowcast_state=save("state", spark.createDataFrame([], schemas.NOWCAST_STATE)),
+        excluded=save("excluded", spark.createDataFrame([("Z",)], schemas.EXCLUDED_HOSPITALS), csv=True),
+        monthly_series=save("monthly", spark.createDataFrame([(day("2026-01-01"), 2.0)], schemas.MONTHLY_SERIES)),
+    )
+    inputs = FileInputs(spark, paths)
+    assert rows(fact.fact_daily(inputs, P)) == [
+        ("A", date(2025, 2, 1), date(2025, 2, 2), 2, 1, 0, 1, 1),
+        ("A", date(2026, 2, 1), date(2026, 2, 3), 1, 1, 0, 0, 0),
+        ("XIMB1", date(2023, 5, 1), None, 1, 0, 0, 0, 0),
+    ]
+    assert rows(inputs.targets, "meta_general_anual", "meta_cirugia_anual") == [(10.0, None)]
+    assert inputs.catalog.count() == inputs.excluded.count() == inputs.monthly_series.count() == 1
+    assert inputs.persons.count() == inputs.nowcast_state.count() == 0
+    assert read_table(spark, paths.nowcast_national, schemas.NOWCAST_NATIONAL).count() == 1
+
+
+def test_bitemporal_summary_defaults_registration_to_the_event(spark, small_inputs):
+    summary = fact.bitemporal_summary(fact.activity(small_inputs, P))
+    assert (2025, date(2025, 3, 1), date(2025, 3, 1), 5) in rows(
+        summary, "anio", "fecha", "fecha_insert", "consultas_totales"
+    )
