@@ -52,9 +52,15 @@ def melt(
 
 
 def inline_table(spark: SparkSession, columns: Iterable[str], rows: Iterable[tuple]) -> DataFrame:
-    """A constant table as a plan literal: no Python data is shipped to executors."""
-    structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row, strict=True)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """A constant table as a VALUES list: part of the plan, with an exact size estimate."""
+    lines = ", ".join(f"({', '.join(_sql_literal(value) for value in row)})" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {lines} AS t({', '.join(columns)})")
+
+
+def _sql_literal(value: str | int | float) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"double({value!r})" if isinstance(value, float) else str(value)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "left") -> DataFrame:

@@ -59,8 +59,8 @@ def dim_targets(targets: DataFrame, params: ReportParams) -> DataFrame:
 def resolve_facility_codes(history: DataFrame, catalog: DataFrame) -> DataFrame:
     """Current facility code of every history row: kept if already current, else looked up, else dropped.
 
-    The history has one row per facility and day, so even a facility holding most of the activity brings
-    only as many rows to the join as there are days.
+    The crosswalk carries no hint. Spark broadcasts it while its size allows; beyond that the join shuffles,
+    and the adaptive skew join splits a facility that holds much of the history.
     """
     crosswalk = require_unique(
         catalog.select(
@@ -74,13 +74,15 @@ def resolve_facility_codes(history: DataFrame, catalog: DataFrame) -> DataFrame:
     return joined.withColumn("clues", code).where(F.col("clues").isNotNull()).drop("_legacy", "_code")
 
 
-def fact_history(inputs: ReportInputs, params: ReportParams) -> DataFrame:
-    """History rows under current codes, without the year that the record files already cover."""
-    history = inputs.history.where(F.col("anio") != params.first_record_year)
+def _resolved_history(history: DataFrame, inputs: ReportInputs, params: ReportParams) -> DataFrame:
+    kept = history.where(F.col("anio") != params.first_record_year)
     facilities = dim_facility(inputs.catalog, params)
-    return resolve_facility_codes(history, facilities).select(
-        "clues", as_day(history, "fecha").alias("fecha"), *METRICS
-    )
+    return resolve_facility_codes(kept, facilities).select("clues", as_day(history, "fecha").alias("fecha"), *METRICS)
+
+
+def fact_history(inputs: ReportInputs, params: ReportParams) -> DataFrame:
+    """The history cube under current codes, without the year that the record files already cover."""
+    return _resolved_history(inputs.history, inputs, params)
 
 
 def _registered_by_cutoff(period: Column, registered: Column, params: ReportParams) -> Column:
@@ -176,7 +178,7 @@ def activity(inputs: ReportInputs, params: ReportParams, years: Iterable[int] |
     years = None if years is None else sorted(set(years))
     parts = []
     if years is None or years[0] <= params.history_last_year:
-        parts.append(fact_history(inputs, params))
+        parts.append(_resolved_history(inputs.history_rows, inputs, params))
     if years is None or years[-1] > params.history_last_year:
         parts.append(record_contributions(inputs, params))
     rows = zero_fill(union_by_name(parts)).dropna(subset=["fecha"])

@@ -25,6 +25,11 @@ class ReportInputs:
     excluded: DataFrame
     monthly_series: DataFrame
 
+    @property
+    def history_rows(self) -> DataFrame:
+        """History at the grain that is cheapest to add up; the cube itself where it is stored."""
+        return self.history
+
     @property
     def joint_records(self) -> DataFrame | None:
         """All three record kinds in one table with es_cirugia / es_egreso flags, where stored that way.

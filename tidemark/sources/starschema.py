@@ -13,8 +13,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.aggregates import sum_metrics
 from tidemark.functions.dates import in_years
-from tidemark.params import PeriodBand, ReportParams
+from tidemark.params import METRICS, PeriodBand, ReportParams
 from tidemark.schemas import STAR_TABLES
 from tidemark.sources.inputs import ReportInputs
 
@@ -137,41 +138,38 @@ class StarSchemaInputs(ReportInputs):
         )
 
     @cached_property
-    def history(self) -> DataFrame:
-        """Facility-by-day cube; odd facilities carry their legacy code. One year overlaps the records."""
+    def history_rows(self) -> DataFrame:
+        """History line by line; odd facilities carry their legacy code. One year overlaps the records.
+
+        Reports add these up directly: for them, shuffling the lines into a cube first would be wasted.
+        """
         day, key = F.col("l_shipdate").cast("date"), F.col("l_suppkey")
-        rows = self._lines.where(in_years(day, HISTORY_YEARS)).select(
-            key.alias("_key"),
+        prefix = F.when(key % 2 == 1, "SSA").otherwise("IMB")
+        return self._lines.where(in_years(day, HISTORY_YEARS)).select(
+            facility_code(prefix, key).alias("clues"),
+            F.year(day).alias("anio"),
             day.alias("fecha"),
-            (F.col("l_returnflag") == "N").cast("bigint").alias("_general"),
-            (F.col("l_returnflag") == "R").cast("bigint").alias("_special"),
-            self._is_surgery().cast("bigint").alias("_surgery"),
-            self._is_discharge().cast("bigint").alias("_discharge"),
-        )
-        cube = rows.groupBy("_key", "fecha").agg(
-            F.count(F.lit(1)).alias("consultas_totales"),
-            F.sum("_general").alias("consultas_generales"),
-            F.sum("_special").alias("consultas_de_especialidad"),
-            F.sum("_surgery").alias("procedimientos_quirurgicos"),
-            F.sum("_discharge").alias("egresos"),
-        )
-        prefix = F.when(F.col("_key") % 2 == 1, "SSA").otherwise("IMB")
-        return cube.select(
-            facility_code(prefix, F.col("_key")).alias("clues"),
-            F.year("fecha").alias("anio"),
-            "fecha",
-            "consultas_totales",
-            "consultas_generales",
-            "consultas_de_especialidad",
-            "procedimientos_quirurgicos",
-            "egresos",
+            F.lit(1).cast("bigint").alias("consultas_totales"),
+            (F.col("l_returnflag") == "N").cast("bigint").alias("consultas_generales"),
+            (F.col("l_returnflag") == "R").cast("bigint").alias("consultas_de_especialidad"),
+            self._is_surgery().cast("bigint").alias("procedimientos_quirurgicos"),
+            self._is_discharge().cast("bigint").alias("egresos"),
         )
 
+    @cached_property
+    def history(self) -> DataFrame:
+        """The history as it would be delivered: one row per facility and day."""
+        return self.history_rows.groupBy("clues", "anio", "fecha").agg(*sum_metrics(METRICS))
+
+    @cached_property
+    def _states(self) -> DataFrame:
+        # Grouping states the key's uniqueness, so that joins keep the other side's size estimate and small
+        # facility tables are broadcast rather than shuffled.
+        return self.table("nation").groupBy("n_nationkey").agg(F.first("n_name").alias("n_name"))
+
     @cached_property
     def _facilities(self) -> DataFrame:
-        return self.table("supplier").join(
-            self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "inner"
-        )
+        return self.table("supplier").join(self._states, F.col("s_nationkey") == F.col("n_nationkey"), "inner")
 
     @cached_property
     def catalog(self) -> DataFrame:
@@ -232,7 +230,7 @@ class StarSchemaInputs(ReportInputs):
         # No hint: Spark broadcasts the customers while their size allows it; beyond that a customer with very
         # many orders is split by the adaptive skew join, and the counts are combined before they shuffle.
         customers = self.table("customer").join(
-            self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "inner"
+            self._states, F.col("c_nationkey") == F.col("n_nationkey"), "inner"
         )
         counts = (
             self._typed_orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "inner")
