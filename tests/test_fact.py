@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
 from datetime import date
 
 import pytest
@@ -9,10 +11,12 @@ from pyspark.sql import functions as F
 
 from tests.helpers import TableInputs, day, moment, rows
 from tidemark import schemas
+from tidemark.__main__ import main
 from tidemark.operators import fact
 from tidemark.params import METRICS, ReportParams
-from tidemark.plans.report import Report
+from tidemark.plans.report import SECTIONS, Report
 from tidemark.sources.files import FileInputs, ReportPaths, read_table, scan_union_by_name, union_by_name
+from tidemark.sources.sinks import read_section
 from tidemark.sources.starschema import PARAMS, StarSchemaInputs
 
 P = ReportParams(cutoff=date(2026, 6, 10))
@@ -196,7 +200,9 @@ def test_union_by_name_scan(spark, tmp_path):
     assert rows(drifted, "n", "t") == [(1, None), (2, "y")]
 
 
-def test_file_inputs(spark, tmp_path):
+@pytest.fixture(scope="module")
+def report_files(spark, tmp_path_factory):
+    tmp_path = tmp_path_factory.mktemp("report-files")
     def save(name, frame, csv=False):
         path = str(tmp_path / (f"{name}.csv" if csv else name))
         frame.write.option("header", "true").csv(path) if csv else frame.write.parquet(path)
@@ -228,6 +234,11 @@ def test_file_inputs(spark, tmp_path):
         excluded=save("excluded", spark.createDataFrame([("Z",)], schemas.EXCLUDED_HOSPITALS), csv=True),
         monthly_series=save("monthly", spark.createDataFrame([(day("2026-01-01"), 2.0)], schemas.MONTHLY_SERIES)),
     )
+    return paths
+
+
+def test_file_inputs(spark, report_files):
+    paths = report_files
     inputs = FileInputs(spark, paths)
     assert rows(fact.fact_daily(inputs, P)) == [
         ("A", date(2025, 2, 1), date(2025, 2, 2), 2, 1, 0, 1, 1),
@@ -240,6 +251,18 @@ def test_file_inputs(spark, tmp_path):
     assert read_table(spark, paths.nowcast_national, schemas.NOWCAST_NATIONAL).count() == 1
 
 
+def test_command_line_writes_every_section(spark, report_files, tmp_path):
+    config = tmp_path / "paths.json"
+    config.write_text(json.dumps(asdict(report_files)), encoding="utf-8")
+    out = str(tmp_path / "out")
+    names = main(["--paths", str(config), "--out", out, "--run-date", "2026-06-16"])
+    assert names == list(SECTIONS)
+    late = read_section(spark, out, date(2026, 6, 10), "late_registration_ytd")
+    assert late.where("anio = 2026 and procedimiento = 'consultas_totales'").first().valor_fecha_insert == 1.0
+    for name in names:
+        assert read_section(spark, out, date(2026, 6, 10), name).count() >= 0
+
+
 def test_bitemporal_summary_defaults_registration_to_the_event(spark, small_inputs):
     summary = fact.bitemporal_summary(fact.activity(small_inputs, P))
     assert (2025, date(2025, 3, 1), date(2025, 3, 1), 5) in rows(

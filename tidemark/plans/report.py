@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -256,22 +258,50 @@ def write_fact(inputs: ReportInputs, params: ReportParams, path: str) -> DataFra
     return daily.sparkSession.read.parquet(path)
 
 
+class StagedInputs(ReportInputs):
+    """Inputs whose small tables several sections share were written once below ``path``."""
+
+    SHARED = ("nowcast_state", "nowcast_national", "persons")
+
+    def __init__(self, inputs: ReportInputs, path: str):
+        self._inputs = inputs
+        for name in self.SHARED:
+            setattr(self, name, _write_and_read(getattr(inputs, name), f"{path}/{name}"))
+
+    def __getattr__(self, name: str):
+        return getattr(self._inputs, name)
+
+
+def _write_and_read(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def write_report(
-    inputs: ReportInputs, params: ReportParams, root: str, sections: dict[str, Callable] | None = None
+    inputs: ReportInputs,
+    params: ReportParams,
+    root: str,
+    sections: dict[str, Callable] | None = None,
+    parallel_sections: int = 4,
 ) -> list[str]:
     """Write the fact and its facility-free summary once, then every section; returns the section names.
 
-    Most sections need no facilities and read the summary, whose size depends on the days covered, not on
-    the number of records.
+    Record files and nowcasts are thus scanned once per report. Most sections need no facilities and read the
+    summary, whose size depends on the days covered, not on the number of records. Sections are independent
+    small jobs, so a few are submitted at a time.
     """
     sections = SECTIONS if sections is None else sections
     base = root.rstrip("/")
     rows = write_fact(inputs, params, f"{base}/fact_daily")
-    fact.without_facility(rows).write.mode("overwrite").parquet(f"{base}/fact_summary")
-    report = Report(inputs, params, rows, rows.sparkSession.read.parquet(f"{base}/fact_summary"))
-    for name, build in sections.items():
-        write_section(build(report), root, params.cutoff, name)
-    return list(sections)
+    summary = _write_and_read(fact.without_facility(rows), f"{base}/fact_summary")
+    report = Report(StagedInputs(inputs, f"{base}/shared"), params, rows, summary)
+
+    def write(name: str) -> str:
+        write_section(sections[name](report), root, params.cutoff, name)
+        return name
+
+    with ThreadPoolExecutor(max_workers=parallel_sections) as pool:
+        return list(pool.map(inheritable_thread_target(rows.sparkSession)(write), sections))
 
 
 def count_sections(spark, root: str, params: ReportParams, names: list[str]) -> DataFrame:
