@@ -239,9 +239,9 @@ def test_indicator_growth_table(spark):
 
 
 def test_actual_vs_model(spark):
-    table = spark.createDataFrame([("2025", 7.0), ("2026", 10.0)], "anio string, egresos double")
-    observed = spark.createDataFrame([("2026", 6)], "anio string, egresos long")
-    result = series.actual_vs_model(table, observed, P, ["egresos"])
+    observed = spark.createDataFrame([(2025, 7), (2026, 6)], "anio int, egresos long")
+    model = spark.createDataFrame([(10.0,)], "egresos double")
+    result = series.actual_vs_model(observed, model, P, ["egresos"])
     assert rows(result, "anio", "tipo", "valor", "total_anio") == [
         ("2025", "Histórico", 7.0, 7.0),
         ("2026", "Meta junio", 4.0, 10.0),

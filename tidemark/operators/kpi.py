@@ -21,16 +21,21 @@ from tidemark.operators.nowcast import nowcast_total
 from tidemark.params import CARD_TITLES, METRICS, PERSON_METRICS, ReportParams
 
 
+def with_modelled_year(ytd: DataFrame, nowcast: DataFrame, params: ReportParams) -> DataFrame:
+    """Measures per year, the current year replaced by the nowcast's total. The year becomes text."""
+    doubles = [F.col(m).cast("double").alias(m) for m in METRICS]
+    past = ytd.where(F.col("anio") != params.current_year).select(F.col("anio").cast("string"), *doubles)
+    modelled = nowcast_total(nowcast).select(F.lit(str(params.current_year)).alias("anio"), *METRICS)
+    return past.unionByName(modelled)
+
+
 def kpi_wide(ytd: DataFrame, nowcast: DataFrame, persons: DataFrame, params: ReportParams) -> DataFrame:
     """Measures per year with the current year taken from the nowcast, and person counts beside them.
 
     The year is text, as the person table's key is compared as text.
     """
-    doubles = [F.col(m).cast("double").alias(m) for m in METRICS]
-    past = ytd.where(F.col("anio") != params.current_year).select(F.col("anio").cast("string"), *doubles)
-    modelled = nowcast_total(nowcast).select(F.lit(str(params.current_year)).alias("anio"), *METRICS)
     counts = persons.select(F.col("anio").cast("string").alias("anio"), *PERSON_METRICS)
-    return past.unionByName(modelled).join(counts, "anio", "left")
+    return with_modelled_year(ytd, nowcast, params).join(counts, "anio", "left")
 
 
 def growth_column(measure: str, year: int, params: ReportParams) -> str:
@@ -130,7 +135,8 @@ def delta_text(growth: DataFrame, params: ReportParams) -> DataFrame:
 def progress_summary(values: DataFrame, totals: DataFrame, params: ReportParams) -> DataFrame:
     """Value per measure and recent year with its share of the year's total, or of the target this year.
 
-    ``values`` is long (procedimiento, anio, avance); ``totals`` has full-year totals of past years.
+    ``values`` is long (procedimiento, anio, avance, and a view name if there are several); ``totals`` has
+    full-year totals of past years.
     """
     bases = melt(
         totals.where(F.col("anio") != params.current_year),
@@ -144,13 +150,17 @@ def progress_summary(values: DataFrame, totals: DataFrame, params: ReportParams)
             [(params.current_year, m, float(params.annual_targets[m])) for m in METRICS],
         )
     )
-    rows = values.where(F.col("anio").isin(*params.recent_years)).join(bases, ["procedimiento", "anio"], "left")
+    kept = values.where(F.col("anio").isin(*params.recent_years))
+    # One base per measure and recent year.
+    rows = kept.join(F.broadcast(bases), ["procedimiento", "anio"], "left")
+    extra = [c for c in values.columns if c not in ("procedimiento", "anio", "avance")]
     share = ratio(F.col("avance"), F.col("base"))
     goal = F.element_at(
         F.create_map(*[x for m in METRICS for x in (F.lit(m), F.lit(float(params.annual_targets[m])))]),
         F.col("procedimiento"),
     )
     return rows.select(
+        *extra,
         "procedimiento",
         "anio",
         "avance",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.aggregates import melt
@@ -64,39 +64,40 @@ def anniversary_points(series: DataFrame, params: ReportParams, value: str = "co
 
 
 def actual_vs_model(
-    table: DataFrame,
     observed: DataFrame,
+    model: DataFrame,
     params: ReportParams,
     metrics: Sequence[str] = METRICS,
     model_label: str = "Meta junio",
 ) -> DataFrame:
     """Stacked parts per measure and year: past totals, this year's observed part and what the model adds.
 
-    ``table`` holds a row per year with the modelled current year, ``observed`` the current year's row of
-    observed values; both carry the year as text.
+    ``observed`` holds observed values per year, ``model`` one row of modelled values of the current year.
     """
-    current = str(params.current_year)
-    past = melt(
-        table.where(F.col("anio") != current),
-        ["anio"],
-        {m: {"tipo": F.lit("Histórico"), "valor": F.col(m).cast("double")} for m in metrics},
-        "procedimiento",
-    )
+    current = params.current_year
     seen = observed.select("anio", *[F.col(m).cast("double").alias(f"_obs_{m}") for m in metrics])
-    both = table.where(F.col("anio") == current).join(seen, "anio")
-    parts = [
-        melt(
-            both,
-            ["anio"],
-            {m: {"tipo": F.lit(tipo), "valor": value(m)} for m in metrics},
-            "procedimiento",
-        )
-        for tipo, value in (
-            (f"Observado {current}", lambda m: F.col(f"_obs_{m}")),
-            (model_label, lambda m: F.col(m).cast("double") - F.col(f"_obs_{m}")),
-        )
-    ]
-    stacked = past.unionByName(parts[0]).unionByName(parts[1])
+    modelled = model.select(F.lit(current).alias("anio"), *[F.col(m).cast("double").alias(f"_mod_{m}") for m in metrics])
+    # One row per year on either side, merged by a small aggregation.
+    years = (
+        seen.unionByName(modelled, allowMissingColumns=True)
+        .groupBy("anio")
+        .agg(*[F.expr(f"max({side}{m}) as {side}{m}") for side in ("_obs_", "_mod_") for m in metrics])
+    )
+    cells = {m: {"_obs": F.col(f"_obs_{m}"), "_mod": F.col(f"_mod_{m}")} for m in metrics}
+    is_current = F.col("anio") == current
+
+    def part(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("tipo"), value.alias("valor"))
+
+    parts = F.when(
+        is_current,
+        F.array(
+            part(f"Observado {current}", F.col("_obs")), part(model_label, F.col("_mod") - F.col("_obs"))
+        ),
+    ).otherwise(F.array(part("Histórico", F.col("_obs"))))
+    stacked = melt(years, ["anio"], cells, "procedimiento").select(
+        F.col("anio").cast("string").alias("anio"), "procedimiento", F.inline(parts)
+    )
     # Each window partition is one bar: at most two parts.
     bar = Window.partitionBy("procedimiento", "anio")
     return stacked.withColumn("total_anio", F.coalesce(F.sum("valor").over(bar), F.lit(0.0)))

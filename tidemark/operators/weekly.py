@@ -90,10 +90,20 @@ def label_spacing(series: DataFrame, params: ReportParams) -> DataFrame:
     and its lower neighbour plus the gap; taking the i-th gap off every height turns that into a running
     maximum. Each window partition holds one row per year.
     """
-    span = series.groupBy("procedimiento").agg((F.max("total") - F.min("total")).alias("_span"))
-    points = last_point_per_year(series).join(span, "procedimiento")
-    gap = F.lit(params.label_gap) * F.coalesce(F.nullif(F.col("_span"), F.lit(0.0)), F.lit(1.0))
-    upwards = Window.partitionBy("procedimiento").orderBy("total", "anio")
+    points = (
+        series.where(F.col("total").isNotNull())
+        .groupBy("procedimiento", "anio")
+        .agg(
+            F.max("semana").alias("semana"),
+            F.max_by("total", "semana").alias("total"),
+            F.min("total").alias("_low"),
+            F.max("total").alias("_high"),
+        )
+    )
+    whole = Window.partitionBy("procedimiento")
+    span = F.max("_high").over(whole) - F.min("_low").over(whole)
+    gap = F.lit(params.label_gap) * F.coalesce(F.nullif(span, F.lit(0.0)), F.lit(1.0))
+    upwards = whole.orderBy("total", "anio")
     running = upwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = points.withColumn("_gap", gap).withColumn("_i", F.row_number().over(upwards))
     lift = F.col("_i") * F.col("_gap")

@@ -140,15 +140,16 @@ class Report:
         )
 
     def progress_summary(self) -> DataFrame:
-        year_totals = self.year_totals()
-        projected = kpi.progress_summary(kpi.long_values(self.kpi_wide()), year_totals, self.params)
-        in_time = self.late_registration_ytd().select(
+        past = self.params.recent_years[:-1]
+        ytd = totals.ytd_by_year(self.activity(past), self.params)
+        projected = kpi.long_values(kpi.with_modelled_year(ytd, self.nowcast_daily(), self.params))
+        registered = self.late_registration_ytd().select(
             "anio", "procedimiento", F.col("valor_fecha_insert").alias("avance")
         )
-        registered = kpi.progress_summary(in_time, year_totals, self.params)
-        return projected.withColumn("vista", F.lit("proyectado")).unionByName(
+        values = projected.withColumn("vista", F.lit("proyectado")).unionByName(
             registered.withColumn("vista", F.lit("registrado"))
         )
+        return kpi.progress_summary(values, totals.year_totals(self.activity(past), past), self.params)
 
     def indicator_growth_table(self) -> DataFrame:
         month = MONTHS[self.params.month - 1]
@@ -160,10 +161,9 @@ class Report:
         )
 
     def actual_vs_model(self) -> DataFrame:
-        current = self.params.current_year
-        observed = totals.ytd_by_year(self.activity([current]), self.params)
-        observed = observed.where(F.col("anio") == current).withColumn("anio", F.col("anio").cast("string"))
-        return series.actual_vs_model(self.kpi_wide(), observed, self.params)
+        return series.actual_vs_model(
+            self.ytd_by_year(), nowcast.nowcast_total(self.nowcast_daily()), self.params
+        )
 
     # -- states --------------------------------------------------------------------------------------
 
