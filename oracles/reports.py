@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from oracles.base import (
-    CORTE,
     INDICATORS,
     METRICS,
     PCT,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tests.helpers import TableInputs, day, moment, rows
 from tidemark import schemas
 from tidemark.__main__ import main
+from tidemark.functions.dates import as_day
 from tidemark.operators import fact
 from tidemark.params import METRICS, ReportParams
 from tidemark.plans.report import SECTIONS, Report
@@ -200,6 +201,21 @@ def test_union_by_name_scan(spark, tmp_path):
     assert rows(drifted, "n", "t") == [(1, None), (2, "y")]
 
 
+def test_drifting_dates_are_reconciled_as_text(spark, tmp_path):
+    spark.createDataFrame([("A", moment("2025-01-02 03:00"))], "clues string, d timestamp_ntz").write.parquet(
+        str(tmp_path / "a")
+    )
+    spark.createDataFrame([("B", "2025-01-05"), ("C", "sin fecha")], "clues string, d string").write.parquet(
+        str(tmp_path / "b")
+    )
+    scanned = scan_union_by_name(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert rows(scanned.select("clues", as_day(scanned, "d"))) == [
+        ("A", date(2025, 1, 2)),
+        ("B", date(2025, 1, 5)),
+        ("C", None),
+    ]
+
+
 @pytest.fixture(scope="module")
 def report_files(spark, tmp_path_factory):
     tmp_path = tmp_path_factory.mktemp("report-files")

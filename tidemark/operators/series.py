@@ -32,9 +32,8 @@ def period_bands(series: DataFrame, params: ReportParams, value: str = "consulta
             F.lit(number).alias("banda"), F.lit(b.label).alias("etiqueta"), F.lit(b.label_height).alias("altura")
         )
         band = F.when(between_days(F.col("fecha"), b.start, b.end), struct).otherwise(band)
-    # The window spans one row per month of the series.
-    whole = Window.partitionBy()
-    top, bottom = F.max(value).over(whole), F.min(value).over(whole)
+    # Scalar subqueries: two numbers over the series, so that no window has to gather it in one task.
+    top, bottom = rows.agg(F.max(value)).scalar(), rows.agg(F.min(value)).scalar()
     return rows.withColumn("_band", band).select(
         "fecha",
         value,
@@ -49,16 +48,14 @@ def period_bands(series: DataFrame, params: ReportParams, value: str = "consulta
 def anniversary_points(series: DataFrame, params: ReportParams, value: str = "consultas_totales") -> DataFrame:
     """The points of one month in every year but the last date, and the last date itself, with labels."""
     rows = _in_range(series, params)
-    last = F.max("fecha").over(Window.partitionBy())
-    marked = rows.withColumn("_last", last).where(
-        (F.month("fecha") == params.anniversary_month) | (F.col("fecha") == F.col("_last"))
-    )
+    is_last = F.col("fecha") == rows.agg(F.max("fecha")).scalar()
+    marked = rows.where((F.month("fecha") == params.anniversary_month) | is_last)
     month = MONTHS[params.anniversary_month - 1]
     label = F.concat(thousands(F.bround(value, 0)), F.lit(f"\n{month} "), F.year("fecha").cast("string"))
     return marked.select(
         "fecha",
         value,
-        F.when(F.col("fecha") == F.col("_last"), "ultimo").otherwise("aniversario").alias("tipo"),
+        F.when(is_last, "ultimo").otherwise("aniversario").alias("tipo"),
         label.alias("etiqueta"),
     )
 

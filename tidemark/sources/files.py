@@ -8,20 +8,48 @@ from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import NumericType, StructType
 
 from tidemark import schemas
 from tidemark.sources.inputs import ReportInputs
 
 
+def _drifted_columns(frames: Sequence[DataFrame]) -> set[str]:
+    """Columns whose type is not the same in every table that has them."""
+    kinds: dict[str, set[str]] = {}
+    for frame in frames:
+        for field in frame.schema:
+            kinds.setdefault(field.name, set()).add(field.dataType.simpleString())
+    return {name for name, found in kinds.items() if len(found) > 1}
+
+
 def scan_union_by_name(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """One scan over Parquet files whose columns differ; a column a file lacks reads as NULL."""
+    """Parquet files whose columns differ as one table; a column a file lacks reads as NULL.
+
+    One scan when shared columns agree on their types, otherwise a union that reconciles them.
+    """
+    frames = [spark.read.parquet(path) for path in paths]
+    if _drifted_columns(frames):
+        return union_by_name(frames)
     return spark.read.option("mergeSchema", "true").parquet(*paths)
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
-    """Union of tables whose columns differ, also where types have drifted between them."""
-    return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)
+    """Union of tables whose columns differ. Numbers widen; any other drifting type becomes text."""
+    drifted = _drifted_columns(frames)
+    texts = {
+        field.name
+        for frame in frames
+        for field in frame.schema
+        if field.name in drifted and not isinstance(field.dataType, NumericType)
+    }
+    aligned = [
+        frame.withColumns({name: frame[name].cast("string") for name in texts if name in frame.columns})
+        if texts
+        else frame
+        for frame in frames
+    ]
+    return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), aligned)
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
