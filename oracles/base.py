@@ -201,10 +201,6 @@ def growth(cur: str, ref: str) -> str:
     return f"(round_even(({cur} - {ref}) / nullif({cur}, 0) * 100, 0) + 0)"
 
 
-def growth_ref(cur: str, ref: str) -> str:
-    return f"(round_even(({cur} / nullif({ref}, 0) - 1) * 100, 0) + 0)"
-
-
 def thousands(expr: str) -> str:
     return f"format('{{:,}}', CAST(trunc({expr}) AS BIGINT))"
 

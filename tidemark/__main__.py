@@ -11,7 +11,7 @@ from datetime import date
 
 from tidemark.params import ReportParams
 from tidemark.plans.report import SECTIONS, write_report
-from tidemark.session import build_session
+from tidemark.session import SHUFFLE_PARTITIONS, build_session
 from tidemark.sources.files import FileInputs, ReportPaths
 
 RECORD_FILES = ("visits", "surgeries", "discharges")
@@ -31,9 +31,12 @@ def main(arguments: list[str] | None = None) -> list[str]:
     parser.add_argument("--paths", required=True)
     parser.add_argument("--out", required=True)
     parser.add_argument("--run-date", type=date.fromisoformat, default=date.today())
+    parser.add_argument("--shuffle-partitions", help="default: three per core")
     options = parser.parse_args(arguments)
     paths = load_paths(options.paths)
     spark = build_session()
+    if options.shuffle_partitions:
+        spark.conf.set(SHUFFLE_PARTITIONS, options.shuffle_partitions)
     chosen = {n: b for n, b in SECTIONS.items() if paths.monthly_series or n not in MONTHLY_SECTIONS}
     return write_report(FileInputs(spark, paths), ReportParams.for_run_date(options.run_date), options.out, chosen)
 

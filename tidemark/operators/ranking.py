@@ -13,11 +13,6 @@ from tidemark.functions.text import facility_name
 from tidemark.operators.fact import exclude_listed, exclude_values
 from tidemark.params import ReportParams
 
-RANK_COLUMNS = (
-    "posicion", "clues", "nombre_unidad", "entidad", "avance", "meta_acumulada", "cumplimiento_pct",
-)
-
-
 def surgery_progress(
     rows: DataFrame,
     facilities: DataFrame,

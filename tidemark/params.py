@@ -127,10 +127,6 @@ class ReportParams:
     def current_year(self) -> int:
         return self.years[-1]
 
-    @property
-    def past_years(self) -> tuple[int, ...]:
-        return self.years[:-1]
-
     @property
     def first_year(self) -> int:
         return self.years[0]

@@ -8,8 +8,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+
+
 def build_session(app_name: str = "tidemark", master: str | None = None, **conf) -> SparkSession:
-    """A session with the settings the plans rely on: adaptive execution, skew-join splitting, UTC."""
+    """A session with the settings the plans rely on: adaptive execution, skew-join splitting, UTC.
+
+    Unless set, the number of shuffle partitions follows the cluster: three per core, so that the fact's
+    shuffle fits in memory on large clusters. Adaptive execution merges them again where they are small.
+    """
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
@@ -24,7 +31,10 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf)
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.getConf().contains(SHUFFLE_PARTITIONS):
+        spark.conf.set(SHUFFLE_PARTITIONS, str(max(200, 3 * spark.sparkContext.defaultParallelism)))
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
