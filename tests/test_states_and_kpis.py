@@ -12,7 +12,7 @@ from tidemark import schemas
 from tidemark.operators import attainment, kpi, labels, ranking, series
 from tidemark.params import METRICS, PERSON_METRICS, ReportParams
 from tidemark.plans.report import SECTIONS, Report, count_sections, write_report
-from tidemark.sources.sinks import read_section, section_path, write_section
+from tidemark.sources.sinks import read_section, read_section_history, section_path, write_section
 from tidemark.sources.starschema import PARAMS, StarSchemaInputs
 
 P = ReportParams(cutoff=date(2026, 6, 10))
@@ -294,6 +294,12 @@ def test_section_round_trip(spark, tmp_path):
     write_section(frame, str(tmp_path), P.cutoff, "one")
     write_section(frame.drop("b"), str(tmp_path), P.cutoff, "two")
     assert rows(read_section(spark, str(tmp_path), P.cutoff, "one"), "a", "b") == [(1, "x")]
+    write_section(frame, str(tmp_path), date(2026, 6, 17), "one")
+    history = read_section_history(spark, str(tmp_path), "one")
+    assert rows(history, "report_date", "section", "a") == [
+        (date(2026, 6, 10), "one", 1),
+        (date(2026, 6, 17), "one", 1),
+    ]
     assert section_path("/r/", P.cutoff, "one") == "/r/report_date=2026-06-10/section=one"
 
 

@@ -13,6 +13,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tidemark.functions.aggregates import null_safe_join, require_unique, sum_metrics
 from tidemark.functions.dates import as_day, in_years
@@ -166,7 +167,7 @@ def daily_discharges(discharges: DataFrame, params: ReportParams) -> DataFrame:
 
 def zero_fill(df: DataFrame) -> DataFrame:
     """NULL to 0 in every numeric column."""
-    numeric = [f.name for f in df.schema if f.dataType.typeName() in ("long", "integer", "double")]
+    numeric = [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
     return df.fillna(0, subset=numeric)
 
 

@@ -291,7 +291,8 @@ def write_report(
     small jobs, so a few are submitted at a time.
     """
     sections = SECTIONS if sections is None else sections
-    base = root.rstrip("/")
+    # The leading underscore keeps these tables out of scans of the report's own folders.
+    base = f"{root.rstrip('/')}/_tables"
     rows = write_fact(inputs, params, f"{base}/fact_daily")
     summary = _write_and_read(fact.without_facility(rows), f"{base}/fact_summary")
     report = Report(StagedInputs(inputs, f"{base}/shared"), params, rows, summary)

@@ -20,3 +20,13 @@ def write_section(df: DataFrame, root: str, report_date: date, section: str) ->
 
 def read_section(spark: SparkSession, root: str, report_date: date, section: str) -> DataFrame:
     return spark.read.parquet(section_path(root, report_date, section))
+
+
+def read_section_history(spark: SparkSession, root: str, section: str) -> DataFrame:
+    """One section over all report dates, with report_date and section as columns."""
+    base = root.rstrip("/")
+    return (
+        spark.read.option("basePath", base)
+        .option("mergeSchema", "true")
+        .parquet(f"{base}/report_date=*/section={section}")
+    )
