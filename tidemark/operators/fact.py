@@ -71,7 +71,7 @@ def resolve_facility_codes(history: DataFrame, catalog: DataFrame) -> DataFrame:
         "facility crosswalk",
     )
     joined = history.join(crosswalk, F.col("clues").cast("string") == F.col("_legacy"), "left")
-    code = F.when(F.col("clues").rlike("IMB"), F.col("clues")).otherwise(F.col("_code"))
+    code = F.when(F.col("clues").contains("IMB"), F.col("clues")).otherwise(F.col("_code"))
     return joined.withColumn("clues", code).where(F.col("clues").isNotNull()).drop("_legacy", "_code")
 
 
