@@ -17,10 +17,12 @@ PERSONS = (
     "personas_egresos",
 )
 
+# Report cut-off, expected share of the target at its week, the same in percent.
 CORTE = "DATE '2000-06-14'"
 SHARE = "(CAST(23 AS DOUBLE) / CAST(52 AS DOUBLE))"
 PCT = "(CAST(2300 AS DOUBLE) / CAST(52 AS DOUBLE))"
 
+# Annual targets.
 TARGETS = {
     "consultas_totales": 60000000,
     "consultas_generales": 52500000,

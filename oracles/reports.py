@@ -22,6 +22,7 @@ from oracles.facts import LATE_YTD
 
 ORACLES: dict[str, str] = {}
 
+# Series labels, report titles and card titles.
 LABELS = dict(zip(METRICS, ("Totales", "Generales", "Especialidad", "Procedimientos quirúrgicos", "Egresos")))
 TITLES = dict(
     zip(

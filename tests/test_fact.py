@@ -42,7 +42,8 @@ def history(spark, codes, year=2023):
 def visits(spark, entries):
     data = [(c, moment(f), moment(i), t, p) for c, f, i, t, p in entries]
     return spark.createDataFrame(
-        data, "clues string, fecha_consulta timestamp_ntz, fecha_insert timestamp_ntz, tipo_consulta string, periodo int"
+        data,
+        "clues string, fecha_consulta timestamp_ntz, fecha_insert timestamp_ntz, tipo_consulta string, periodo int",
     )
 
 

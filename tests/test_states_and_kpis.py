@@ -28,7 +28,8 @@ def shares(spark, entries):
 
 
 @pytest.mark.parametrize(
-    "value,band", [(0.29, "rojo"), (0.30, "amarillo"), (0.40, "verde_claro"), (0.48, "verde_fuerte"), (None, "verde_fuerte")]
+    "value,band",
+    [(0.29, "rojo"), (0.30, "amarillo"), (0.40, "verde_claro"), (0.48, "verde_fuerte"), (None, "verde_fuerte")],
 )
 def test_traffic_light_bands(spark, value, band):
     column = attainment.light(F.lit(value).cast("double"), 0.5, P.light_thresholds)
@@ -108,7 +109,8 @@ def surgery(spark):
     )
     facilities = spark.createDataFrame(
         [(c, None, "Jalisco", f"HG {c}", k) for c, k in
-         (("T1", "Hospital"), ("T2", "Hospital"), ("Z1", "Hospital"), ("X1", "Hospital"), ("N1", None), ("U1", "UNEME"))],
+         (("T1", "Hospital"), ("T2", "Hospital"), ("Z1", "Hospital"), ("X1", "Hospital"),
+          ("N1", None), ("U1", "UNEME"))],
         schemas.FACILITY_CATALOG,
     )
     goals = {"T1": 20.0, "T2": 18.0, "Z1": 30.0, "X1": 50.0, "N1": 40.0, "U1": 60.0, "OLD": 1.0, None: 80.0}
@@ -250,7 +252,13 @@ def test_actual_vs_model(spark):
 
 
 def test_monthly_series(spark):
-    data = [("2022-07-01", 1.0), ("2023-06-01", 40.0), ("2024-06-01", 1234.5), ("2025-12-01", 30.0), ("2026-06-01", 5.0)]
+    data = [
+        ("2022-07-01", 1.0),
+        ("2023-06-01", 40.0),
+        ("2024-06-01", 1234.5),
+        ("2025-12-01", 30.0),
+        ("2026-06-01", 5.0),
+    ]
     monthly = spark.createDataFrame(data, "fecha string, consultas_totales double")
     bands = series.period_bands(monthly, P)
     assert rows(bands, "fecha", "banda", "minimo", "maximo")[0] == (date(2023, 6, 1), 1, 5.0, 1234.5)

@@ -67,7 +67,8 @@ def _decompose(per_year: DataFrame, projection: DataFrame, params: ReportParams,
         .withColumn(
             "valor_total",
             F.coalesce(
-                F.when(is_current, F.col("proyeccion")).otherwise(F.col("ocurrido").cast("double")), F.col("valor_fecha_insert")
+                F.when(is_current, F.col("proyeccion")).otherwise(F.col("ocurrido").cast("double")),
+                F.col("valor_fecha_insert"),
             ),
         )
         .withColumn(

@@ -73,7 +73,9 @@ def actual_vs_model(
     """
     current = params.current_year
     seen = observed.select("anio", *[F.col(m).cast("double").alias(f"_obs_{m}") for m in metrics])
-    modelled = model.select(F.lit(current).alias("anio"), *[F.col(m).cast("double").alias(f"_mod_{m}") for m in metrics])
+    modelled = model.select(
+        F.lit(current).alias("anio"), *[F.col(m).cast("double").alias(f"_mod_{m}") for m in metrics]
+    )
     # One row per year on either side, merged by a small aggregation.
     years = (
         seen.unionByName(modelled, allowMissingColumns=True)
