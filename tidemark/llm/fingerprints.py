@@ -67,15 +67,14 @@ def slots(hashes: np.ndarray) -> np.ndarray:
 
 
 def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that hold a term of each slot; slot -1 counts documents."""
-    counts, documents = np.zeros(1 << SLOT_BITS, np.int32), 0
+    """Documents that hold a term of each slot."""
+    counts = np.zeros(1 << SLOT_BITS, np.int32)
     for batch in slices(batches):
-        documents += batch.num_rows
         for text in batch.column("text").to_pylist():
             counts[np.unique(slots(term_hashes(terms(text or ""))))] += 1
     used = np.flatnonzero(counts)
-    found = [np.append(used, -1), np.append(counts[used], documents)]
-    for start in range(0, len(found[0]), 1 << 16):
+    found = [used, counts[used]]
+    for start in range(0, len(used), 1 << 16):
         part = [pa.array(f[start : start + (1 << 16)].astype(np.int32)) for f in found]
         yield pa.RecordBatch.from_arrays(part, ["slot", "n"])
 
@@ -83,18 +82,17 @@ def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lexicon(documents: DataFrame, lowest_idf: float, highest_idf: float) -> np.ndarray:
     """A packed bitmap of the slots whose inverse document frequency lies within the band.
 
-    Inverse document frequency is log2 of documents by documents with a term of the slot. What the driver gathers is
-    at most one number for each slot.
+    Inverse document frequency is log2 of documents by documents with a term of the slot. The driver gathers the
+    bitmap, 64 slots to a number.
     """
+    total = documents.count()
     counted = documents.select("text").mapInArrow(_count_slots, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = counted.toPandas()
-    documents_in_all = int(found.loc[found.slot == -1, "n"].sum())
-    found = found[found.slot >= 0]
-    kept = np.zeros(1 << SLOT_BITS, bool)
-    if documents_in_all:
-        idf = math.log2(documents_in_all) - np.log2(found.n.to_numpy(float))
-        kept[found.slot.to_numpy()[(idf >= lowest_idf) & (idf <= highest_idf)]] = True
-    return np.packbits(kept)
+    idf = F.log2(F.lit(float(total))) - F.log2("n")
+    kept = counted.where((idf >= lowest_idf) & (idf <= highest_idf))
+    packed = kept.groupBy(F.expr("slot div 64").cast("int").alias("place")).agg(F.expr("bit_or(shiftleft(1L, slot % 64))").alias("bits"))
+    found, bitmap = packed.toArrow(), np.zeros(1 << (SLOT_BITS - 6), np.uint64)
+    bitmap[found["place"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return np.packbits(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
 def fingerprint(text: str, kept: np.ndarray) -> np.ndarray:
