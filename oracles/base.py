@@ -69,12 +69,12 @@ FROM (
          count(*) AS consultas_totales, count(*) FILTER (flag = 'N') AS consultas_generales,
          count(*) FILTER (flag = 'R') AS consultas_de_especialidad,
          count(*) FILTER (cir) AS procedimientos_quirurgicos, count(*) FILTER (egr) AS egresos
-  FROM lines WHERE y BETWEEN 1995 AND 1997 GROUP BY k, fecha
+  FROM lines WHERE y <= 1997 GROUP BY k, fecha
 ) AS c LEFT JOIN cat ON c.code = cat.clues_ssa_y_sme
 WHERE regexp_matches(c.code, 'IMB') OR cat.clues_imb IS NOT NULL"""
 
 CTES["recs"] = f"""
-SELECT * FROM lines WHERE y IN (1998, 1999) OR (y = 2000 AND ins <= {CORTE})"""
+SELECT * FROM lines WHERE y IN (1998, 1999) OR (y >= 2000 AND ins <= {CORTE})"""
 
 CTES["act"] = """
 SELECT clues, fecha, CAST(NULL AS DATE) AS fecha_insert, consultas_totales, consultas_generales,
@@ -92,7 +92,7 @@ CTES["now_type"] = """
 SELECT CAST(o_orderdate AS DATE) AS fecha, o_custkey,
        CASE left(o_orderpriority, 1) WHEN '1' THEN 'general' WHEN '2' THEN 'especialidad' WHEN '3' THEN 'qx'
             WHEN '4' THEN 'egresos' END AS tipo
-FROM orders WHERE year(o_orderdate) = 2000"""
+FROM orders WHERE o_orderdate >= DATE '2000-01-01'"""
 
 CTES["now_day"] = """
 SELECT fecha,
@@ -101,7 +101,7 @@ SELECT fecha,
        1.25::DOUBLE * count(*) FILTER (tipo = 'especialidad') AS consultas_de_especialidad,
        1.25::DOUBLE * count(*) FILTER (tipo = 'qx') AS procedimientos_quirurgicos,
        1.25::DOUBLE * count(*) FILTER (tipo = 'egresos') AS egresos
-FROM now_type WHERE tipo IS NOT NULL GROUP BY fecha"""
+FROM now_type GROUP BY fecha"""
 
 CTES["now_state"] = f"""
 SELECT upper(left(n_name, 1)) || lower(substr(n_name, 2)) AS entidad,
@@ -111,7 +111,7 @@ SELECT upper(left(n_name, 1)) || lower(substr(n_name, 2)) AS entidad,
        CAST(count(*) FILTER (tipo = 'qx') AS DOUBLE) AS procedimientos_quirurgicos,
        CAST(count(*) FILTER (tipo = 'egresos') AS DOUBLE) AS egresos
 FROM now_type JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-WHERE tipo IS NOT NULL AND fecha <= {CORTE} GROUP BY 1"""
+WHERE fecha <= {CORTE} GROUP BY 1"""
 
 _KINDS = {"consulta_total": "5", "general": "1", "especialidad": "2", "qx": "3", "egresos": "4"}
 CTES["per"] = f"""

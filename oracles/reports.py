@@ -228,6 +228,7 @@ r AS (
 
 PAGE = "CAST(CASE WHEN posicion <= 10 THEN 1 ELSE 2 END AS INTEGER) AS pagina"
 ORACLES["surgery_ranking"] = with_ctes("act cat goals", f"{_ranking()}\nSELECT * FROM r")
+ORACLES["surgery_worst_ten"] = with_ctes("act cat goals", f"{_ranking()}\nSELECT * FROM r WHERE posicion <= 10")
 ORACLES["surgery_zero_progress"] = with_ctes(
     "act cat goals", f"{_ranking()}\nSELECT *, {PAGE} FROM r WHERE avance = 0"
 )
@@ -385,7 +386,7 @@ def _dm(d: str) -> str:
 ORACLES["report_labels"] = with_ctes(
     "lines",
     f"""
-, h AS (SELECT DISTINCT fecha AS hoy FROM lines WHERE y BETWEEN 1998 AND 2000),
+, h AS (SELECT DISTINCT fecha AS hoy FROM lines),
 c AS (
   SELECT hoy, hoy - CAST(CASE WHEN (isodow(hoy) + 4) % 7 = 0 THEN 7 ELSE (isodow(hoy) + 4) % 7 END AS INTEGER)
            AS fecha_corte,

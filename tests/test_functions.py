@@ -117,6 +117,10 @@ def test_require_unique(spark):
     bad = spark.createDataFrame([("a", 1), ("a", 2)], "k string, v int")
     with pytest.raises(Exception, match="dim: repeated k"):
         require_unique(bad, "k", "dim").collect()
+    with pytest.raises(Exception, match="dim: repeated k"):
+        require_unique(good, "k", "dim", null_safe=True).collect()
+    one_null = good.where("v < 3")
+    assert require_unique(one_null, "k", "dim", null_safe=True).count() == 2
 
 
 def test_inline_table(spark):

@@ -9,12 +9,16 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from oracles import ORACLES as REPORT_ORACLES
+from pyspark.sql import functions as F
+from tidemark.plans.queries import QUERIES as PLANS
 
 SF_DIR = os.environ.get("TIDEMARK_SF_DIR", "/root/testdata/sf0.001")
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
 
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+# The reports' own queries; operators of other subpackages have tests of their own.
+QUERIES = PLANS
+ORACLES = REPORT_ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables not present")
 
@@ -39,6 +43,7 @@ def _canonical(value):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -111,3 +116,36 @@ def test_matches_oracle_on_skewed_data_without_broadcasts(spark, skewed, name):
 def test_entry_is_the_flagship_query(spark):
     rows = entry_module.entry(spark).collect()
     assert [r.anio for r in sorted(rows, key=lambda r: r.anio)] == [1997, 1998, 1999, 2000]
+
+
+def test_only_the_cutoff_drops_records(spark, tmp_path):
+    """Line items before the first and after the last report year reach the facts, or fall to the cut-off alone."""
+    from datetime import datetime
+
+    from tidemark.sources.starschema import StarSchemaInputs
+
+    source = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
+    one = source.where("l_linenumber = 1").limit(1)
+    moved = source
+    for year in (1990, 2003):
+        moved = moved.unionByName(one.withColumn("l_shipdate", F.lit(datetime(year, 3, 1)).cast(dict(source.dtypes)["l_shipdate"])))
+    moved.write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("supplier", "nation", "orders", "customer"):
+        spark.read.parquet(f"{SF_DIR}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    inputs = StarSchemaInputs(spark, str(tmp_path))
+    assert inputs.history_rows.where("anio = 1990").count() == 1
+    assert inputs.visits.where("year(fecha_consulta) = 2003 and periodo = 2000").count() == 1
+    years = {r.anio for r in QUERIES["ytd_by_year"](spark, str(tmp_path)).collect()}
+    assert 1990 in years and 2003 not in years
+    assert {1990, 2003} <= {r.hoy.year for r in QUERIES["report_labels"](spark, str(tmp_path)).collect()}
+
+
+def test_growth_reads_no_history_and_series_push_their_range(spark):
+    def plan(name):
+        return QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+
+    for name in ("growth_wide", "kpi_cards"):
+        assert "1998-12-31" not in plan(name)  # the bound of the history scan
+    for name in ("period_bands", "anniversary_points"):
+        assert "GreaterThanOrEqual(o_orderdate" in plan(name)
+    assert "s_suppkey" not in plan("week_month_spans")

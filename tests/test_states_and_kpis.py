@@ -325,3 +325,12 @@ def test_written_report_equals_direct_results(spark, tmp_path):
         ("late_registration_ytd", 20),
         ("surgery_zero_progress", 1),
     ]
+
+
+def test_last_date_of_a_series_is_one_row(spark):
+    data = [(day("2026-06-01"), 5.0), (day("2026-06-01"), 7.0), (day("2025-06-01"), 3.0)]
+    monthly = spark.createDataFrame(data, "fecha date, consultas_totales double")
+    points = series.anniversary_points(monthly, P)
+    assert rows(points, "fecha", "consultas_totales", "tipo") == [
+        (day("2025-06-01"), 3.0, "aniversario"), (day("2026-06-01"), 7.0, "ultimo")
+    ]

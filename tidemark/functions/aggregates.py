@@ -80,13 +80,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Iterable[str], how:
     return left.join(right, condition, how).select(*merged, *rest_left, *rest_right)
 
 
-def require_unique(df: DataFrame, key: str, label: str) -> DataFrame:
+def require_unique(df: DataFrame, key: str, label: str, null_safe: bool = False) -> DataFrame:
     """The same table, failing the job when a key repeats: a repeated dimension row would multiply counts.
 
+    A plain equality never meets NULL keys, so they may repeat; for a null-safe join they may not.
+
     The check runs beside the query as a scalar subquery over keys only, so the table itself keeps its size
     estimate and Spark can still choose to broadcast it.
     """
-    keys = df.select(key).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
+    keys = df.select(key) if null_safe else df.select(key).where(F.col(key).isNotNull())
+    keys = keys.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
     repeated = keys.where(F.col("_copies") > 1).agg(F.count(F.lit(1))).scalar()
     guard = F.when(repeated > 0, F.raise_error(F.lit(f"{label}: repeated {key}"))).otherwise(F.col(key))
     return df.withColumn(key, guard)

@@ -175,7 +175,7 @@ def state_year_registered(rows: DataFrame, targets: DataFrame, params: ReportPar
     recent = rows.where(in_years(F.col("fecha"), params.recent_years))
     kept = recent.where(registered_in_time(F.col("fecha"), F.col("fecha_insert"), params.cutoff))
     per_facility = kept.groupBy(F.year("fecha").alias("anio"), "clues").agg(*sum_metrics(STATE_METRICS))
-    state_of = require_unique(targets.select(F.col("clues_imb").alias("clues"), "entidad"), "clues", "targets")
+    state_of = require_unique(targets.select(F.col("clues_imb").alias("clues"), "entidad"), "clues", "targets", null_safe=True)
     totals = (
         null_safe_join(per_facility, state_of, ["clues"])
         .groupBy("anio", "entidad")

@@ -251,3 +251,13 @@ def bitemporal_summary(rows: DataFrame) -> DataFrame:
         .groupBy(F.year("fecha").alias("anio"), "fecha", "fecha_insert")
         .agg(*sum_metrics(METRICS))
     )
+
+
+def activity_years(inputs: ReportInputs, params: ReportParams) -> DataFrame:
+    """The years (anio) in which the facts have rows, from dates alone: no facility is looked up.
+
+    A year all of whose history lies at unknown facilities is listed too.
+    """
+    past = inputs.history_rows.where(F.col("anio") != params.first_record_year)
+    dates = past.select(as_day(past, "fecha").alias("fecha")).unionByName(record_contributions(inputs, params).select("fecha"))
+    return dates.where(F.col("fecha").isNotNull()).select(F.year("fecha").alias("anio")).distinct()

@@ -35,12 +35,13 @@ def surgery_progress(
         facilities.select(F.col("clues_imb").alias("clues"), "nombre_comercial", "entidad", "categoria_gerencial"),
         "clues",
         "facility catalogue",
+        null_safe=True,
     )
     if hospitals_only:
         described = exclude_values(described, "categoria_gerencial", params.excluded_categories)
         described = described.where(F.col("categoria_gerencial").isNotNull())
     goals = require_unique(
-        targets.select(F.col("clues_imb").alias("clues"), "meta_cirugia_anual"), "clues", "targets"
+        targets.select(F.col("clues_imb").alias("clues"), "meta_cirugia_anual"), "clues", "targets", null_safe=True
     ).where(F.col("meta_cirugia_anual") > 0)
     # A missing category drops the facility, so the hospital table can join inner; so can the targets.
     kept = null_safe_join(per_facility, described, ["clues"], "inner" if hospitals_only else "left")

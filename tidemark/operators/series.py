@@ -46,16 +46,21 @@ def period_bands(series: DataFrame, params: ReportParams, value: str = "consulta
 
 
 def anniversary_points(series: DataFrame, params: ReportParams, value: str = "consultas_totales") -> DataFrame:
-    """The points of one month in every year but the last date, and the last date itself, with labels."""
-    rows = _in_range(series, params)
+    """The points of one month in every year but the last date, and one row of the last date, with labels.
+
+    Of several rows of the last date the one with the largest value stays.
+    """
+    rows = _in_range(series, params).select("fecha", value)
     is_last = F.col("fecha") == rows.agg(F.max("fecha")).scalar()
-    marked = rows.where((F.month("fecha") == params.anniversary_month) | is_last)
+    earlier = rows.where((F.month("fecha") == params.anniversary_month) & ~is_last)
+    last = rows.orderBy(F.col("fecha").desc(), F.col(value).desc_nulls_last()).limit(1)
+    marked = earlier.withColumn("_last", F.lit(False)).unionByName(last.withColumn("_last", F.lit(True)))
     month = MONTHS[params.anniversary_month - 1]
     label = F.concat(thousands(F.bround(value, 0)), F.lit(f"\n{month} "), F.year("fecha").cast("string"))
     return marked.select(
         "fecha",
         value,
-        F.when(is_last, "ultimo").otherwise("aniversario").alias("tipo"),
+        F.when(F.col("_last"), "ultimo").otherwise("aniversario").alias("tipo"),
         label.alias("etiqueta"),
     )
 

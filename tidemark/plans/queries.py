@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import fact, kpi, labels, nowcast, series, totals, weekly
+from tidemark.operators import fact, kpi, labels, nowcast, ranking, series, totals, weekly
 from tidemark.operators.totals import DayWindow
 from tidemark.plans.report import Report, count_sections, write_report
 from tidemark.session import scratch_path
@@ -212,7 +212,7 @@ def custom_week(r: Report) -> DataFrame:
 
 @_query
 def week_month_spans(r: Report) -> DataFrame:
-    return weekly.week_month_spans(r.activity().select(F.year("fecha").alias("anio")).distinct())
+    return weekly.week_month_spans(fact.activity_years(r.inputs, PARAMS))
 
 
 @_query
@@ -286,6 +286,11 @@ def surgery_ranking(r: Report) -> DataFrame:
     return r.surgery_ranking()
 
 
+@_query
+def surgery_worst_ten(r: Report) -> DataFrame:
+    return ranking.first_rows(r.surgery_ranking(), 10)
+
+
 @_query
 def surgery_zero_progress(r: Report) -> DataFrame:
     return r.surgery_zero_progress()
@@ -352,7 +357,8 @@ def number_labels(r: Report) -> DataFrame:
 @_query
 def report_labels(r: Report) -> DataFrame:
     """Texts of a report run on each day on which activity happened."""
-    days = r.inputs.visits.select(F.col("fecha_consulta").cast("date").alias("hoy")).distinct()
+    recorded = r.inputs.visits.select(F.col("fecha_consulta").cast("date").alias("hoy"))
+    days = recorded.union(r.inputs.history_rows.select("fecha")).distinct()
     return labels.report_labels(days, first_year=PARAMS.first_year)
 
 

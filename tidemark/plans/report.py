@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -117,7 +118,10 @@ class Report:
         return kpi.kpi_wide(self.ytd_by_year(), self.nowcast_daily(), self.persons_by_year(), self.params)
 
     def growth(self, measures=ALL_MEASURES) -> DataFrame:
-        return kpi.growth_long(self.kpi_wide(), measures, self.params)
+        """Growth needs the reference years alone, the current one being modelled: no other year is read."""
+        ytd = totals.ytd_by_year(self.activity(self.params.growth_reference_years), self.params)
+        wide = kpi.kpi_wide(ytd, self.nowcast_daily(), self.persons_by_year(), self.params)
+        return kpi.growth_long(wide, measures, self.params)
 
     def growth_wide(self) -> DataFrame:
         return kpi.growth_wide(self.growth(), ALL_MEASURES, self.params)
@@ -254,7 +258,8 @@ def write_fact(inputs: ReportInputs, params: ReportParams, path: str) -> DataFra
     not a recomputation.
     """
     daily = fact.fact_daily(inputs, params).withColumn("anio", F.year("fecha"))
-    daily.write.mode("overwrite").partitionBy("anio").parquet(path)
+    # Rebalancing puts a year into few files, and splits a large one.
+    daily.hint("rebalance", "anio").write.mode("overwrite").partitionBy("anio").parquet(path)
     return daily.sparkSession.read.parquet(path)
 
 
@@ -291,8 +296,8 @@ def write_report(
     small jobs, so a few are submitted at a time.
     """
     sections = SECTIONS if sections is None else sections
-    # The leading underscore keeps these tables out of scans of the report's own folders.
-    base = f"{root.rstrip('/')}/_tables"
+    # The leading underscore keeps these tables out of scans of the report's own folders; every run has its own.
+    base = f"{root.rstrip('/')}/_tables-{params.cutoff.isoformat()}-{uuid.uuid4().hex}"
     rows = write_fact(inputs, params, f"{base}/fact_daily")
     summary = _write_and_read(fact.without_facility(rows), f"{base}/fact_summary")
     report = Report(StagedInputs(inputs, f"{base}/shared"), params, rows, summary)

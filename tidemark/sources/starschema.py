@@ -19,8 +19,8 @@ from tidemark.params import METRICS, PeriodBand, ReportParams
 from tidemark.schemas import STAR_TABLES
 from tidemark.sources.inputs import ReportInputs
 
-HISTORY_YEARS = (1995, 1996, 1997, 1998)
-RECORD_YEARS = (1998, 1999, 2000)
+#: The history ends with this year, in which the records begin; neither has another bound.
+FIRST_RECORD_YEAR = 1998
 
 PARAMS = ReportParams(
     cutoff=date(2000, 6, 14),
@@ -79,8 +79,8 @@ class StarSchemaInputs(ReportInputs):
 
     @cached_property
     def _recent(self) -> DataFrame:
-        """Line items of the record years; the range on the ship date reaches the Parquet scan."""
-        return self._lines.where(in_years(F.col("l_shipdate").cast("date"), RECORD_YEARS))
+        """Line items from the first record year on; the bound on the ship date reaches the Parquet scan."""
+        return self._lines.where(F.col("l_shipdate").cast("date") >= F.lit(date(FIRST_RECORD_YEAR, 1, 1)))
 
     @staticmethod
     def _record_columns(date_name: str) -> list[Column]:
@@ -92,7 +92,8 @@ class StarSchemaInputs(ReportInputs):
             facility_code("IMB", F.col("l_suppkey")).alias("clues"),
             F.col("l_shipdate").alias(date_name),
             registered.alias("fecha_insert"),
-            F.year(day).alias("periodo"),
+            # What happens after the current year would be in the current file, where the load cut-off decides.
+            F.least(F.year(day), F.lit(PARAMS.current_year)).alias("periodo"),
         ]
 
     @staticmethod
@@ -100,7 +101,7 @@ class StarSchemaInputs(ReportInputs):
         flag, year = F.col("l_returnflag"), F.year(F.col("l_shipdate").cast("date"))
         return (
             F.when(flag == "N", "General")
-            .when(flag == "R", F.when(year == PARAMS.current_year, "especialidad").otherwise("ESPECIALIDADES"))
+            .when(flag == "R", F.when(year >= PARAMS.current_year, "especialidad").otherwise("ESPECIALIDADES"))
             .otherwise("otra")
         )
 
@@ -130,8 +131,8 @@ class StarSchemaInputs(ReportInputs):
     @cached_property
     def visit_sources(self) -> DataFrame:
         """Past-year visits with the number (0-3) of the file each would have been delivered in."""
-        past = in_years(F.col("l_shipdate").cast("date"), RECORD_YEARS[:-1])
-        return self._recent.where(past).select(
+        past = range(FIRST_RECORD_YEAR, PARAMS.current_year)
+        return self._recent.where(in_years(F.col("l_shipdate").cast("date"), past)).select(
             *self._record_columns("fecha_consulta"),
             self._visit_type().alias("tipo_consulta"),
             (F.col("l_linenumber") % 4).alias("archivo"),
@@ -145,7 +146,7 @@ class StarSchemaInputs(ReportInputs):
         """
         day, key = F.col("l_shipdate").cast("date"), F.col("l_suppkey")
         prefix = F.when(key % 2 == 1, "SSA").otherwise("IMB")
-        return self._lines.where(in_years(day, HISTORY_YEARS)).select(
+        return self._lines.where(day <= F.lit(date(FIRST_RECORD_YEAR, 12, 31))).select(
             facility_code(prefix, key).alias("clues"),
             F.year(day).alias("anio"),
             day.alias("fecha"),
@@ -210,9 +211,8 @@ class StarSchemaInputs(ReportInputs):
         day = F.col("o_orderdate").cast("date")
         return (
             self.table("orders")
-            .where(in_years(day, [PARAMS.current_year]))
+            .where(day >= F.lit(PARAMS.current_year_start))
             .select("o_custkey", day.alias("dia"), _nowcast_type(F.col("o_orderpriority")).alias("tipo_consulta"))
-            .where(F.col("tipo_consulta").isNotNull())
         )
 
     @staticmethod
@@ -227,15 +227,17 @@ class StarSchemaInputs(ReportInputs):
 
     @cached_property
     def nowcast_state(self) -> DataFrame:
-        # No hint: Spark broadcasts the customers while their size allows it; beyond that a customer with very
-        # many orders is split by the adaptive skew join, and the counts are combined before they shuffle.
+        # Orders are counted per customer, day and type before they meet the customers, so one with very many
+        # orders has collapsed by then. No hint: Spark broadcasts the customers while their size allows it.
         customers = self.table("customer").join(
             self._states, F.col("c_nationkey") == F.col("n_nationkey"), "inner"
         )
         counts = (
-            self._typed_orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "inner")
+            self._typed_orders.groupBy("o_custkey", "dia", "tipo_consulta")
+            .agg(F.count(F.lit(1)).alias("_orders"))
+            .join(customers, F.col("o_custkey") == F.col("c_custkey"), "inner")
             .groupBy("dia", "tipo_consulta", F.col("n_name").alias("entidad"))
-            .agg(F.count(F.lit(1)).alias("_n"))
+            .agg(F.sum("_orders").alias("_n"))
         )
         return counts.select("dia", "tipo_consulta", *self._nowcast_columns(), "entidad")
 
@@ -252,8 +254,12 @@ class StarSchemaInputs(ReportInputs):
 
     @cached_property
     def monthly_series(self) -> DataFrame:
+        # Whole months of the report's range: a bound on the order date reaches the scan, one on its month doesn't.
+        day = F.col("o_orderdate").cast("date")
+        first, last = PARAMS.series_start.replace(day=1), F.last_day(F.lit(PARAMS.series_end))
         return (
             self.table("orders")
+            .where((day >= F.lit(first)) & (day <= last))
             .groupBy(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("fecha"))
             .agg(F.count(F.lit(1)).cast("double").alias("consultas_totales"))
         )
