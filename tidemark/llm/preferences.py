@@ -1,6 +1,6 @@
 """Preference formatting of chosen and rejected conversations, with DataFrame operations only.
 
-Both conversations of a pair are turns with a place. A turn that both have at the same place, with the same role and
+Both conversations of a pair are turns with a place; a turn's side is chosen, rejected or both. A turn that both have at the same place, with the same role and
 text, is one row after grouping. The first place at which they differ ends the common prefix: turns before it are the
 prompt, rendered once; turns from there on make the chosen and the rejected completion. Assistant turns of completions
 are what a model learns from, all else is masked.
@@ -44,8 +44,8 @@ def reply_pairs(conversations: DataFrame) -> DataFrame:
     partner = replies.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last").alias("other_last"))
     pairs = replies.join(partner, "conv_id")
     own = turns.join(pairs, "conv_id").withColumn("pair_id", F.col("conv_id"))
-    sides = F.when(F.col("turn") < F.col("last"), F.array(F.lit("chosen"), F.lit("rejected"))).otherwise(F.array(F.lit("chosen")))
-    kept = own.select("pair_id", F.explode(sides).alias("side"), "turn", "role", "text")
+    side = F.when(F.col("turn") < F.col("last"), "both").otherwise("chosen")
+    kept = own.select("pair_id", side.alias("side"), "turn", "role", "text")
     # Of a partner, turns from its last reply on, at the places that the reply has in the chosen conversation.
     tail = own.where(F.col("turn") >= F.col("last")).select(
         F.col("conv_id").bitwiseXOR(F.lit(1)).alias("pair_id"),
@@ -63,13 +63,13 @@ def format_preferences(turns: DataFrame, places: int = PLACES) -> DataFrame:
     The texts of a part's pieces, in order, are the part. loss_spans are the stretches (start, end in code points of
     the piece) that count in the loss; a prompt has none.
     """
-    merged = turns.groupBy("pair_id", "turn", "role", "text").agg(
-        F.max(F.col("side") == "chosen").alias("in_chosen"), F.max(F.col("side") == "rejected").alias("in_rejected")
-    )
+    in_sides = [
+        F.max(F.col("side") != "rejected").alias("in_chosen"),
+        F.max(F.col("side") != "chosen").alias("in_rejected"),
+    ]
+    merged = turns.groupBy("pair_id", "turn", "role", "text").agg(*in_sides)
     differs = ~(F.col("in_chosen") & F.col("in_rejected"))
-    ends = turns.groupBy("pair_id", "turn", "role", F.xxhash64("text").alias("digest"), F.length("text").alias("n")).agg(
-        F.max(F.col("side") == "chosen").alias("in_chosen"), F.max(F.col("side") == "rejected").alias("in_rejected")
-    )
+    ends = turns.groupBy("pair_id", "turn", "role", F.xxhash64("text").alias("digest"), F.length("text").alias("n")).agg(*in_sides)
     ends = ends.groupBy("pair_id").agg(F.min(F.when(differs, F.col("turn"))).alias("end"))
     in_prompt = F.col("end").isNull() | (F.col("turn") < F.col("end"))
     parts = F.when(in_prompt, F.array(F.lit("prompt"))).otherwise(
