@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.aggregates import melt, sum_metrics, sum_or_zero
+from tidemark.functions.aggregates import sum_metrics, sum_or_zero
 from tidemark.functions.dates import between_days, in_years, same_day_in_year, up_to_same_day
 from tidemark.functions.numbers import ratio
 from tidemark.params import METRICS, PERSON_METRICS, ReportParams
@@ -147,30 +147,31 @@ def window_summaries(
     ``force_equal_years`` the as-registered total is taken to be the total.
     """
     event, registered = F.col("fecha"), F.col("fecha_insert")
-    hits = [
-        F.when(
-            _inside(event, window, years),
+    reached, flags, sums, cells = F.lit(False), [], [], []
+    for k, window in enumerate(windows):
+        inside = _inside(event, window, years)
+        in_time = registered.isNull() | (registered <= same_day_in_year(F.year(event), window.last))
+        reached = reached | inside
+        flags += [inside.alias(f"_in{k}"), (inside & in_time).alias(f"_timely{k}")]
+        sums += [F.count_if(F.col(f"_in{k}")).alias(f"_n{k}")]
+        sums += sum_metrics(METRICS, condition=f"_in{k}", prefix=f"_all{k}_")
+        sums += sum_metrics(METRICS, condition=f"_timely{k}", prefix=f"_reg{k}_")
+        cells += [
             F.struct(
                 F.lit(window.name).alias("periodo"),
-                (
-                    registered.isNull() | (registered <= same_day_in_year(F.year(event), window.last))
-                ).alias("a_tiempo"),
-            ),
-        )
-        for window in windows
-    ]
-    tagged = (
-        rows.where(in_years(event, years))
-        .withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
-        .select(F.year(event).alias("anio"), "_hit.periodo", "_hit.a_tiempo", *METRICS)
-    )
-    wide = tagged.groupBy("periodo", "anio").agg(
-        *sum_metrics(METRICS, prefix="_all_"), *sum_metrics(METRICS, condition="a_tiempo", prefix="_reg_")
-    )
-    cells = {m: {"valor": F.col(f"_all_{m}"), "_reg": F.col(f"_reg_{m}")} for m in METRICS}
+                F.lit(metric).alias("procedimiento"),
+                F.col(f"_n{k}").alias("_n"),
+                F.col(f"_all{k}_{metric}").alias("valor"),
+                F.col(f"_reg{k}_{metric}").alias("_reg"),
+            )
+            for metric in METRICS
+        ]
+    # The windows' date ranges reach the scan; each window is a conditional sum, so no row is multiplied.
+    marked = rows.where(reached).select(F.year(event).alias("anio"), *METRICS, *flags)
+    wide = marked.groupBy("anio").agg(*sums).select("anio", F.inline(F.array(*cells)))
     forced = F.col("anio").isin(*force_equal_years) if force_equal_years else F.lit(False)
     in_time = F.when(forced, F.col("valor")).otherwise(F.col("_reg"))
-    return melt(wide, ["periodo", "anio"], cells, "procedimiento").select(
+    return wide.where(F.col("_n") > 0).select(
         "periodo",
         "anio",
         "procedimiento",
