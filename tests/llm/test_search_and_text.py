@@ -210,6 +210,27 @@ def test_copies_take_the_words_told(spark, docs_of):
     assert mixing.mix(docs_of([])).count() == 0
 
 
+def test_each_row_of_an_id_has_its_own_share(spark, docs_of, tmp_path):
+    draw = random.Random(4)
+    texts = [" ".join(f"w{draw.randrange(999)}" for _ in range(draw.randint(5, 40))) for _ in range(120)]
+    ids = [None] * 50 + [7] * 10 + list(range(100, 160))
+    rows = [(i, t, "en", draw.choice("aabc")) for i, t in zip(ids, texts)]
+    # Through the stage itself, as the pipeline calls it.
+    made = corpus_pipeline.mix_sources(spark, docs_of(rows).drop("score"), DATA).collect()
+    sizes, taken = {}, {}
+    for _, text, _, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(text.split())
+    for r in made:
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+    for source, target in plain_targets(sizes).items():
+        assert abs(taken[source] - target) <= 1
+    # Each copy is a document of its id and source, or its first words, and none is taken more than twice.
+    for doc_id, text, _, source in rows:
+        own = [r for r in made if (r.doc_id, r.source) == (doc_id, source) and text.startswith(r.text)]
+        assert len(own) <= 2
+    assert all(any((r.doc_id, r.source) == (i, s) and t.startswith(r.text) for i, t, _, s in rows) for r in made)
+
+
 def ran(sql, **tables):
     con = duckdb.connect()
     for name, frame in tables.items():

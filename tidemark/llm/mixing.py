@@ -11,7 +11,8 @@ words; what is over is shared again. That ends where every source has weight tim
 The level follows directly once sources are ordered by bound over weight.
 
 Null texts have no words, null sources are a source of their own, the last. Repeated rows count each by itself; null
-ids share one key. A source without words has target 0. An empty table gives no rows. Extra columns are ignored.
+ids share one key in `mix`, as its SQL has it, so a source's rows without an id stand in one range there; in
+`mixed_copies` they have keys of their texts. A source without words has target 0. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,63 +56,90 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def mix(
-    documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 0
+def _placed(
+    documents: DataFrame, key: Column, kept: Column, order: list[Column | str], weights: tuple[int, ...], share: float, most: int
 ) -> DataFrame:
-    """Per document: doc_id, size, source, source_size, target and taken: the words of it that the mix takes.
-
-    `taken` is the number of whole passes over its source times its size, plus what the last pass takes of it.
-    """
-    key = random_key("doc_id", seed)
+    """Per row: kept, size, source, source_size, target and taken. Rows stand by `key`, then by `order`."""
+    # One expression for null and other sources: the join finds the rows dealt as the window left them.
     sized = documents.select(
-        "doc_id",
-        "source",
+        F.array("source").alias("source"),
         words("text").alias("size"),
         key.alias("key"),
         F.substring(key, 1, RANGE_DIGITS).alias("range"),
+        kept.alias("kept"),
     )
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     sources = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
-    targets = source_targets(sources, weights, share, most)
+    targets = source_targets(sources.withColumn("source", F.col("source")[0]), weights, share, most)
     by_range = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(by_range), F.lit(0)))
-        .alias("r")
-        .join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-        .select("r.source", "r.range", "range_start", "source_size", "target")
+        .join(targets.withColumn("source", F.array("source")), "source")
+        .select("source", "range", "range_start", "source_size", "target")
     )
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size")
+    inside = Window.partitionBy("source", "range").orderBy("key", *order)
     running = sized.withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = running.alias("d").join(
-        starts.alias("s"),
-        F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.range") == F.col("s.range")),
-    )
+    placed = running.join(starts, ["source", "range"])
     budget = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     before = F.col("range_start") + F.col("upto") - F.col("size")
     rest = F.least(F.greatest(budget - passes * F.col("source_size") - before, F.lit(0)), F.col("size"))
     taken = (passes * F.col("size") + rest).cast("long")
-    return placed.select("doc_id", "size", "d.source", "source_size", "target", taken.alias("taken"))
+    return placed.select("kept", "size", F.col("source")[0].alias("source"), "source_size", "target", taken.alias("taken"))
+
+
+def mix(
+    documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 0
+) -> DataFrame:
+    """Per document: doc_id, size, source, source_size, target and taken: the words of it that the mix takes.
+
+    `taken` is the number of whole passes over its source times its size, plus what the last pass takes of it.
+    """
+    key = random_key("doc_id", seed)
+    placed = _placed(documents, key, F.col("doc_id"), ["kept", "size"], weights, share, most)
+    return placed.withColumnRenamed("kept", "doc_id")
+
+
+def mixed_copies(
+    documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 0
+) -> DataFrame:
+    """The mix itself, as `copies` describes it, for any rows: each has its own share, whatever ids they have.
+
+    Where ids aren't null, shares are those of `mix`. Rows without an id have a key of their text's hash.
+    """
+    of_text = F.md5(F.concat(F.lit(f"{seed}:t"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    key = F.when(F.col("doc_id").isNull(), of_text).otherwise(random_key("doc_id", seed))
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    order = [F.col("kept.doc_id"), F.col("size"), F.col("kept.text")]
+    placed = _placed(documents, key, row, order, weights, share, most).where("taken > 0")
+    rows = placed.select(F.col("size").alias("_size"), F.col("taken").alias("_taken"), "kept.*")
+    return _repeated(rows, documents.columns)
 
 
 def copies(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, the last time with only its first words if cut.
 
     A cut text ends after the last word taken; documents of which nothing is taken are left out. `mixed` has doc_id,
-    size and taken. Documents of which no word is taken because they have none are left out as well.
+    size and taken, by which ids must be unique and not null; `mixed_copies` takes any rows. Documents of which no word
+    is taken because they have none are left out as well.
     """
-    shares = mixed.where(F.col("taken") > 0).select(F.col("doc_id").alias("_id"), "size", "taken").distinct()
-    whole = (F.col("taken") / F.col("size")).cast("int")
-    part = (F.col("taken") % F.col("size")).cast("int")
-    counts = F.concat(F.array_repeat(F.col("size").cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array()))
-    taken = documents.join(shares, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_words", F.explode(counts))
+    shares = mixed.where(F.col("taken") > 0).select(
+        F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")
+    )
+    return _repeated(documents.join(shares.distinct(), F.col("doc_id").eqNullSafe(F.col("_id"))), documents.columns)
+
+
+def _repeated(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with _size and _taken, both above 0, as often as they are taken, with the columns named."""
+    whole = (F.col("_taken") / F.col("_size")).cast("int")
+    part = (F.col("_taken") % F.col("_size")).cast("int")
+    counts = F.concat(F.array_repeat(F.col("_size").cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array()))
+    taken = rows.withColumn("_words", F.explode(counts))
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_words")), "")
-    text = F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col("text"))
-    columns = [c for c in documents.columns if c not in ("text", "n_chars")]
-    return taken.select(*columns, text.alias("text")).withColumn("n_chars", F.length("text").cast("long")).select(
-        *documents.columns
-    )
+    text = F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text"))
+    kept = [c for c in columns if c not in ("text", "n_chars")]
+    return taken.select(*kept, text.alias("text")).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 
 #: The result as SQL, written from the rule: the level is found by trying each source as the last to reach its bound.
