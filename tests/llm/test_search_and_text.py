@@ -134,6 +134,23 @@ def test_main_text():
     assert len(main_text("<article>" + "<p>word</p>" * 20000 + "</article>").split("\n\n")) == 20000
 
 
+def test_names_that_tell_what_else_there_is():
+    text = "A long paragraph of the main text, with words enough to be kept by any ratio of text to tags. " * 3
+    shown = " ".join(text.split())
+    side = "<div class='sidebar'><p>side side side</p></div>"
+    for name in ("content has-sidebar", "hasSidebar", "col-with-comments", "content no-sidebar"):
+        assert main_text(f"<body><div class='{name}'><p>{text}</p></div>{side}</body>") == shown
+    for name in ("post category-social", "post comments-open", "post tag-search", "related-post"):
+        assert main_text(f"<body><article class='{name}'><p>{text}</p></article>{side}</body>") == shown
+    inside = f"<article><div class='article-header'><h1>The title</h1></div><p>{text}</p>%s</article>"
+    assert main_text(inside % "") == f"The title\n\n{shown}"
+    # What stands beside is left out as before, comments inside or after the article included.
+    comment = f"<article class='comment'><p>Reader: {text}</p></article>"
+    assert main_text(inside % comment) == f"The title\n\n{shown}"
+    assert main_text(inside % "" + f"<div class='comments'>{comment}</div>") == f"The title\n\n{shown}"
+    assert main_text(f"<body><div class='content'><p>{text}</p></div><div id='site-header'>{text}</div></body>") == shown
+
+
 def test_pages_query(spark):
     import html
     import re

@@ -3,7 +3,8 @@
 The standard library's parser streams events. They become lines, one for each block of text, each with the number of
 its characters and of the tags met since the line before. What stands in elements that never hold an article
 (scripts, menus, forms and so on), or in ones whose class, id or role says so, is left out and parts the lines into
-regions. If the page marks an article or main part, lines outside it are left out too; if not, each division or
+regions. Names that tell what else there is (`has-sidebar`, `category-social`, `comments-open`) don't count, nor do
+any of an article or main element that isn't inside another one or a block left out, nor `header` inside an article. If the page marks an article or main part, lines outside it are left out too; if not, each division or
 section of the page is a region of its own. The ratios of characters to
 tags are smoothed with a Gaussian, and lines are clustered by a threshold at a share of the page's spread of ratios:
 a region stays, whole, if any line of it lies in the upper cluster. So a short paragraph or heading inside an article
@@ -50,14 +51,30 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _MARKING = ("class", "id", "role")
 
 
-def _beside(attributes: list[tuple[str, str | None]]) -> bool:
+#: Words of a name after which it tells what else the page or element has, and first and last words of such a name.
+_WITH = frozenset("has have no not with without".split())
+_ABOUT, _STATE = frozenset("category cat tag".split()), frozenset("open opened closed enabled disabled".split())
+_HEADER, _ARTICLE = frozenset(("header", "headers")), frozenset("article content entry post story".split())
+
+
+def _marks(name: str, in_article: bool) -> bool:
+    """Whether one name of a class, id or role says that its element stands beside the article."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    if len(words) > 1 and (words[0] in _ABOUT or words[-1] in _STATE):
+        return False
+    words = words[: next((k for k, w in enumerate(words) if w in _WITH), len(words))]
+    own_header = in_article or not _ARTICLE.isdisjoint(words)
+    return any(BESIDE.match(w) and not (own_header and w in _HEADER) for w in words)
+
+
+def _hidden(attributes: list[tuple[str, str | None]]) -> bool:
+    return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attributes)
+
+
+def _beside(attributes: list[tuple[str, str | None]], in_article: bool) -> bool:
     """Whether an element's own names say that it stands beside the article."""
-    for name, value in attributes:
-        if name in _MARKING and value and any(BESIDE.match(w.lower()) for w in _WORD.findall(value)):
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+    names = [one for name, value in attributes if name in _MARKING and value for one in value.split()]
+    return any(_marks(name, in_article) for name in names)
 
 
 class Lines(HTMLParser):
@@ -88,7 +105,9 @@ class Lines(HTMLParser):
             return
         out = tag in OUTSIDE or tag == "header" and not self._content
         if not out and attrs and tag not in ("html", "body"):
-            out = _beside(attrs)
+            # Names leave out an article only inside another one or a block left out, as a reader's comment.
+            named = tag not in CONTENT or self._content or self._out
+            out = _hidden(attrs) or bool(named) and _beside(attrs, self._content > 0)
         if tag in CONTENT and not out and self._out and not any(o and t in OUTSIDE for t, o in self._open):
             # An article that starts while a marked block is still open: that block was never closed.
             self._leave(next(k for k, (_, o) in enumerate(self._open) if o))
