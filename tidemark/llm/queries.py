@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     byte_bpe,
+    decontamination,
     fingerprints,
     language_id,
     licenses,
+    manifest,
     mixing,
     nearest,
     pages,
+    periodic,
     preferences,
     simhash,
     token_counts,
@@ -60,6 +63,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tampered(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -73,10 +88,15 @@ QUERIES = {
         op8_main_text,
         op9_preferences,
         op10_byte_bpe,
+        op11_manifest,
+        op12_periodic_runs,
+        op13_decontamination,
     )
 }
 
 ORACLES = {
     "op6_source_mix": mixing.SQL,
     "op9_preferences": preferences.SQL,
+    "op11_manifest": manifest.SQL,
+    "op13_decontamination": decontamination.SQL,
 }
