@@ -97,11 +97,14 @@ GROUP BY year(fecha)""",
 
 ORACLES["ytd_by_year"] = with_ctes("ytd", "SELECT * FROM ytd")
 
+# By the year of the file: records of 2000 and later are in the file of 2000.
 ORACLES["year_totals"] = with_ctes(
-    "act",
+    "recs",
     f"""
-SELECT CAST(year(fecha) AS INTEGER) AS anio, {sums()} FROM act
-WHERE year(fecha) IN (1998, 1999, 2000) GROUP BY year(fecha)""",
+SELECT CAST(least(y, 2000) AS INTEGER) AS anio, {", ".join(big(c, m) for m, c in zip(METRICS, (
+    "count(*)", "count(*) FILTER (flag = 'N')", "count(*) FILTER (flag = 'R')", "count(*) FILTER (cir)",
+    "count(*) FILTER (egr)")))}
+FROM recs WHERE y >= 1998 GROUP BY 1""",
 )
 
 ORACLES["ytd_share_of_year"] = with_ctes(

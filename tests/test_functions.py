@@ -212,7 +212,7 @@ def test_thousands_truncates(spark):
     assert one(spark, numbers.thousands(F.lit(None).cast("double"))) is None
 
 
-@pytest.mark.parametrize("raw,expected", [("3.2%", "3%"), ("5,6 %", "6%"), ("12%", "12%"), ("n/a", "n/a"), (None, "")])
+@pytest.mark.parametrize("raw,expected", [("3.2%", "3%"), ("5,6 %", "6%"), ("12%", "12%"), ("n/a", "n/a"), (None, ""), ("-0,6", "-1%"), ("1.2.3", "1.2.3"), ("~ .4 pct", "0%")])
 def test_rounded_percent_text(spark, raw, expected):
     assert one(spark, numbers.rounded_percent_text(F.lit(raw).cast("string"))) == expected
 

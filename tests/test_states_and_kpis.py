@@ -214,20 +214,33 @@ def test_growth_on_the_reference_year(spark):
 
 
 def test_progress_summary(spark):
-    yearly = spark.createDataFrame(
-        [(2024, *[100] * 5), (2025, *[200] * 5)], f"anio int, {', '.join(f'{m} long' for m in METRICS)}"
-    )
     values = spark.createDataFrame(
-        [(2024, "egresos", 45.0), (2025, "egresos", None), (2026, "egresos", 40000.0)],
-        "anio int, procedimiento string, avance double",
+        [(2024, "egresos", 45.0, 100.0), (2025, "egresos", None, 200.0), (2026, "egresos", 40000.0, 1.6e6)],
+        "anio int, procedimiento string, avance double, base double",
     )
-    assert rows(kpi.progress_summary(values, yearly, P), "anio", "base", "avance_txt", "pct_txt", "meta_anual_txt") == [
+    assert rows(kpi.progress_summary(values, P), "anio", "base", "avance_txt", "pct_txt", "meta_anual_txt") == [
         (2024, 100.0, "45", "45%", "1,600,000"),
         (2025, 200.0, "—", "", "1,600,000"),
         (2026, 1_600_000.0, "40,000", "2%", "1,600,000"),
     ]
 
 
+def test_progress_rows_of_years_without_activity(spark):
+    yearly = spark.createDataFrame(
+        [("ocurrido", 2024, *[5] * 5), ("archivo", 2024, *[9] * 5), ("registrado", 2026, *[4] * 5)],
+        f"vista string, grupo int, {', '.join(f'{m} long' for m in METRICS)}",
+    )
+    nowcast = spark.createDataFrame([(day("2026-01-02"), *[7.0] * 5)], f"fecha date, {', '.join(f'{m} double' for m in METRICS)}")
+    found = kpi.progress_rows(yearly, nowcast, P).where("procedimiento = 'egresos'")
+    assert rows(found, "vista", "anio", "avance", "base") == [
+        ("proyectado", 2024, 5.0, 9.0),
+        ("proyectado", 2026, 7.0, 1.6e6),
+        ("registrado", 2024, 0.0, 9.0),
+        ("registrado", 2025, 0.0, None),
+        ("registrado", 2026, 4.0, 1.6e6),
+    ]
+
+
 def test_indicator_growth_table(spark):
     table = spark.createDataFrame(
         [("Ene-Jun 2025", 10, 0), ("Ene-Jun 2026", 8, 3), ("2026 bis", 4, 3), ("total", 99, 99)],

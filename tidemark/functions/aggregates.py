@@ -39,7 +39,7 @@ def sum_where(metrics: Iterable[str], condition: str, prefix: str) -> list[Colum
 
 def melt(
     df: DataFrame,
-    ids: Iterable[str],
+    ids: Iterable[str | Column],
     rows: Mapping[str, Mapping[str, Column]],
     name_col: str,
 ) -> DataFrame:
@@ -80,6 +80,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Iterable[str], how:
     return left.join(right, condition, how).select(*merged, *rest_left, *rest_right)
 
 
+def may_broadcast(df: DataFrame) -> bool:
+    """Whether Spark would broadcast a table in a join: its own estimate against its own limit. Starts no job."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 def require_unique(df: DataFrame, key: str, label: str, null_safe: bool = False) -> DataFrame:
     """The same table, failing the job when a key repeats: a repeated dimension row would multiply counts.
 

@@ -66,10 +66,14 @@ def percent_label(share: Column) -> Column:
     return F.concat(F.bround(share * 100, 0).cast("bigint").cast("string"), F.lit("%"))
 
 
+# A number in running text: an optional sign, digits, and one separator, point or comma.
+_NUMBER = r"-?(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)"
+
+
 def rounded_percent_text(text: Column) -> Column:
-    """Percent text to a whole percent; text without a number is passed on, NULL becomes empty."""
-    digits = F.regexp_replace(F.regexp_replace(text, r"[^0-9,.\-]", ""), ",", ".")
-    number = digits.try_cast("double")
+    """Percent text to a whole percent; text in which digits don't make one number is passed on, NULL becomes empty."""
+    alone = F.regexp_extract(text, rf"^[^0-9.,\-]*({_NUMBER})[^0-9.,\-]*$", 1)
+    number = F.translate(alone, ",", ".").try_cast("double")
     rounded = F.concat(F.bround(number, 0).cast("bigint").cast("string"), F.lit("%"))
     return F.when(text.isNull(), F.lit("")).otherwise(F.coalesce(rounded, text))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from tidemark.functions.aggregates import null_safe_join, require_unique, sum_metrics
+from tidemark.functions.aggregates import may_broadcast, null_safe_join, require_unique, sum_metrics
 from tidemark.functions.dates import as_day, in_years
 from tidemark.functions.text import state_name
 from tidemark.params import METRICS, ReportParams
@@ -60,8 +60,9 @@ def dim_targets(targets: DataFrame, params: ReportParams) -> DataFrame:
 def resolve_facility_codes(history: DataFrame, catalog: DataFrame) -> DataFrame:
     """Current facility code of every history row: kept if already current, else looked up, else dropped.
 
-    The crosswalk carries no hint. Spark broadcasts it while its size allows; beyond that the join shuffles,
-    and the adaptive skew join splits a facility that holds much of the history.
+    While Spark would broadcast the crosswalk, by its own estimate and limit, rows are looked up where they are
+    read. Beyond that the join shuffles, and then only sums of legacy rows per code and day: a facility that holds
+    much of the history has collapsed by then, and rows under current codes stay where they are.
     """
     crosswalk = require_unique(
         catalog.select(
@@ -70,6 +71,17 @@ def resolve_facility_codes(history: DataFrame, catalog: DataFrame) -> DataFrame:
         "_legacy",
         "facility crosswalk",
     )
+    if may_broadcast(crosswalk):
+        return _looked_up(history, crosswalk)
+    # The join shuffles: current codes pass it by, and legacy rows are added up before they meet it.
+    current = F.coalesce(F.col("clues").contains("IMB"), F.lit(False))
+    measures = [c for c in METRICS if c in history.columns]
+    keys = [c for c in history.columns if c not in measures]
+    legacy = history.where(~current).groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
+    return history.where(current).unionByName(_looked_up(legacy, crosswalk).select(*history.columns))
+
+
+def _looked_up(history: DataFrame, crosswalk: DataFrame) -> DataFrame:
     joined = history.join(crosswalk, F.col("clues").cast("string") == F.col("_legacy"), "left")
     code = F.when(F.col("clues").contains("IMB"), F.col("clues")).otherwise(F.col("_code"))
     return joined.withColumn("clues", code).where(F.col("clues").isNotNull()).drop("_legacy", "_code")
@@ -77,8 +89,8 @@ def resolve_facility_codes(history: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def _resolved_history(history: DataFrame, inputs: ReportInputs, params: ReportParams) -> DataFrame:
     kept = history.where(F.col("anio") != params.first_record_year)
-    facilities = dim_facility(inputs.catalog, params)
-    return resolve_facility_codes(kept, facilities).select("clues", as_day(history, "fecha").alias("fecha"), *METRICS)
+    kept = kept.select("clues", as_day(history, "fecha").alias("fecha"), *METRICS)
+    return resolve_facility_codes(kept, dim_facility(inputs.catalog, params)).select("clues", "fecha", *METRICS)
 
 
 def fact_history(inputs: ReportInputs, params: ReportParams) -> DataFrame:
@@ -114,6 +126,7 @@ def _contributions(records: DataFrame, date_name: str, flags: dict[str, Column],
         "clues",
         as_day(records, date_name).alias("fecha"),
         "fecha_insert",
+        "periodo",
         *[flag.alias(name) for name, flag in flags.items()],
     )
 
@@ -153,6 +166,11 @@ def daily(contributions: DataFrame) -> DataFrame:
     return contributions.groupBy(*KEYS).agg(*sum_metrics(metrics))
 
 
+def daily_by_file(inputs: ReportInputs, params: ReportParams) -> DataFrame:
+    """The daily fact with the year of the file as a further key, undated rows included."""
+    return activity_by_file(inputs, params).groupBy(*KEYS, "periodo").agg(*sum_metrics(METRICS))
+
+
 def daily_visits(visits: DataFrame, params: ReportParams) -> DataFrame:
     return daily(visit_contributions(visits, params))
 
@@ -165,16 +183,17 @@ def daily_discharges(discharges: DataFrame, params: ReportParams) -> DataFrame:
     return daily(discharge_contributions(discharges, params))
 
 
-def zero_fill(df: DataFrame) -> DataFrame:
-    """NULL to 0 in every numeric column."""
-    numeric = [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
+def zero_fill(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """NULL to 0 in every numeric column but those to keep."""
+    numeric = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in keep]
     return df.fillna(0, subset=numeric)
 
 
-def activity(inputs: ReportInputs, params: ReportParams, years: Iterable[int] | None = None) -> DataFrame:
-    """All contributions on the fact's columns, zero-filled and dated, optionally for some event years only.
+def activity_by_file(inputs: ReportInputs, params: ReportParams, years: Iterable[int] | None = None) -> DataFrame:
+    """All contributions on the fact's columns and ``periodo``, the year of the file each came from.
 
-    A source none of whose years is asked for is left out of the plan, and the year ranges reach the scans.
+    The history cube is no file of a year: its ``periodo`` is NULL. Undated rows stay. ``years`` leaves out a source
+    none of whose years is asked for, and no row of the others.
     """
     years = None if years is None else sorted(set(years))
     parts = []
@@ -182,9 +201,20 @@ def activity(inputs: ReportInputs, params: ReportParams, years: Iterable[int] |
         parts.append(_resolved_history(inputs.history_rows, inputs, params))
     if years is None or years[-1] > params.history_last_year:
         parts.append(record_contributions(inputs, params))
-    rows = zero_fill(union_by_name(parts)).dropna(subset=["fecha"])
-    if "fecha_insert" not in rows.columns:
-        rows = rows.withColumn("fecha_insert", F.lit(None).cast("date"))
+    rows = zero_fill(union_by_name(parts), keep=("periodo",))
+    for missing, kind in (("fecha_insert", "date"), ("periodo", "int")):
+        if missing not in rows.columns:
+            rows = rows.withColumn(missing, F.lit(None).cast(kind))
+    return rows.select(*KEYS, "periodo", *METRICS)
+
+
+def activity(inputs: ReportInputs, params: ReportParams, years: Iterable[int] | None = None) -> DataFrame:
+    """All contributions on the fact's columns, zero-filled and dated, optionally for some event years only.
+
+    A source none of whose years is asked for is left out of the plan, and the year ranges reach the scans.
+    """
+    years = None if years is None else list(years)
+    rows = activity_by_file(inputs, params, years).dropna(subset=["fecha"])
     if years is not None:
         rows = rows.where(in_years(F.col("fecha"), years))
     return rows.select(*KEYS, *METRICS)
@@ -206,41 +236,32 @@ def fact_daily_fulljoin(inputs: ReportInputs, params: ReportParams) -> DataFrame
 
 
 def fact_current(inputs: ReportInputs, params: ReportParams) -> DataFrame:
-    """The current year's daily fact as SQL with the cut-off and the year as bound parameters."""
-    return inputs.visits.sparkSession.sql(
-        """
-        SELECT clues, fecha, fecha_insert,
-               CAST(sum(visita) AS BIGINT) AS consultas_totales,
-               CAST(sum(general) AS BIGINT) AS consultas_generales,
-               CAST(sum(especialidad) AS BIGINT) AS consultas_de_especialidad,
-               CAST(sum(cirugia) AS BIGINT) AS procedimientos_quirurgicos,
-               CAST(sum(egreso) AS BIGINT) AS egresos
-        FROM (
-          SELECT clues, CAST(fecha_consulta AS DATE) AS fecha, CAST(fecha_insert AS DATE) AS fecha_insert,
-                 1 AS visita,
-                 CASE WHEN lower(tipo_consulta) = 'general' THEN 1 ELSE 0 END AS general,
-                 CASE WHEN lower(tipo_consulta) = 'especialidad' THEN 1 ELSE 0 END AS especialidad,
-                 0 AS cirugia, 0 AS egreso
-          FROM {visits} WHERE periodo = :anio AND CAST(fecha_insert AS DATE) <= :corte
-          UNION ALL
-          SELECT clues, CAST(fecha_egreso AS DATE), CAST(fecha_insert AS DATE), 0, 0, 0, 1, 0
-          FROM {surgeries} WHERE periodo = :anio AND CAST(fecha_insert AS DATE) <= :corte
-          UNION ALL
-          SELECT clues, CAST(fecha_egreso AS DATE), CAST(fecha_insert AS DATE), 0, 0, 0, 0, 1
-          FROM {discharges} WHERE periodo = :anio AND CAST(fecha_insert AS DATE) <= :corte
-        ) AS registros
+    """The current year's daily fact as SQL over the contributions, with year and cut-off as bound parameters.
+
+    The contributions are a view of this one statement: they bring the date and visit rules of ``fact_daily``, and one
+    scan where the records are stored together. Undated rows stay.
+    """
+    contributions = record_contributions(inputs, params)
+    totals = ", ".join(f"CAST(sum(coalesce({m}, 0)) AS BIGINT) AS {m}" for m in METRICS)
+    return contributions.sparkSession.sql(
+        f"""
+        SELECT clues, fecha, fecha_insert, {totals}
+        FROM {{registros}}
+        WHERE periodo = :anio AND fecha_insert <= :corte
         GROUP BY clues, fecha, fecha_insert
         """,
         args={"anio": params.current_year, "corte": params.cutoff},
-        visits=inputs.visits,
-        surgeries=inputs.surgeries,
-        discharges=inputs.discharges,
+        registros=contributions,
     )
 
 
 def without_facility(rows: DataFrame) -> DataFrame:
-    """Activity with facilities added up: one row per event date and registration date, NULL kept apart."""
-    return rows.groupBy("fecha", "fecha_insert").agg(*sum_metrics(METRICS))
+    """Activity with facilities added up: one row per event date and registration date, NULL kept apart.
+
+    Where rows tell the year of their file, it is a key too.
+    """
+    keys = [c for c in ("fecha", "fecha_insert", "periodo") if c in rows.columns]
+    return rows.groupBy(*keys).agg(*sum_metrics(METRICS))
 
 
 def bitemporal_summary(rows: DataFrame) -> DataFrame:

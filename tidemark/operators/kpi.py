@@ -13,7 +13,6 @@ from tidemark.functions.numbers import (
     growth_on_reference,
     percent_label,
     ratio,
-    rounded_percent_text,
     thousands,
 )
 from tidemark.functions.text import NO_DATA, accent, delta_icon, delta_label, delta_lines, sentence_case, year_in_text
@@ -132,34 +131,52 @@ def delta_text(growth: DataFrame, params: ReportParams) -> DataFrame:
     return growth.select("indicador", delta_lines(F.col("var_1"), near, F.col("var_2"), far).alias("texto"))
 
 
-def progress_summary(values: DataFrame, totals: DataFrame, params: ReportParams) -> DataFrame:
-    """Value per measure and recent year with its share of the year's total, or of the target this year.
+def progress_rows(yearly: DataFrame, nowcast: DataFrame, params: ReportParams) -> DataFrame:
+    """vista, procedimiento, anio, avance, base of both views from one table of yearly views.
 
-    ``values`` is long (procedimiento, anio, avance, and a view name if there are several); ``totals`` has
-    full-year totals of past years.
+    ``yearly`` has vista (``ocurrido``, ``registrado``, ``archivo``), grupo (a year) and the measures. What occurred by
+    the cut-off's day counts in past years, the nowcast's total in the current one; what was registered counts in all,
+    0 where there is nothing. The base is all that a past year's files hold, and the target in the current year.
     """
-    bases = melt(
-        totals.where(F.col("anio") != params.current_year),
-        ["anio"],
-        {m: {"base": F.col(m).cast("double")} for m in METRICS},
-        "procedimiento",
-    ).unionByName(
-        inline_table(
-            totals.sparkSession,
-            ("anio", "procedimiento", "base"),
-            [(params.current_year, m, float(params.annual_targets[m])) for m in METRICS],
-        )
+    cells = {m: {"valor": F.col(m).cast("double")} for m in METRICS}
+    long = melt(yearly, ["vista", F.col("grupo").alias("anio")], cells, "procedimiento")
+    views = ("ocurrido", "registrado", "archivo")
+    wide = long.groupBy("procedimiento", "anio").agg(
+        *[F.max(F.when(F.col("vista") == view, F.col("valor"))).alias(view) for view in views]
+    )
+    spine = inline_table(
+        yearly.sparkSession,
+        ("procedimiento", "anio", "meta"),
+        [(m, y, float(params.annual_targets[m])) for m in METRICS for y in params.recent_years],
+    )
+    modelled = melt(nowcast_total(nowcast), [], {m: {"modelado": F.col(m)} for m in METRICS}, "procedimiento")
+    is_current = F.col("anio") == params.current_year
+    # A row per measure and year, and a row per measure.
+    rows = spine.join(F.broadcast(wide), ["procedimiento", "anio"], "left").join(F.broadcast(modelled), "procedimiento")
+    projected = F.when(is_current, F.col("modelado")).otherwise(F.col("ocurrido"))
+    both = F.array(
+        F.struct(F.lit("proyectado").alias("vista"), projected.alias("avance")),
+        F.struct(F.lit("registrado").alias("vista"), F.coalesce("registrado", F.lit(0.0)).alias("avance")),
     )
-    kept = values.where(F.col("anio").isin(*params.recent_years))
-    # One base per measure and recent year.
-    rows = kept.join(F.broadcast(bases), ["procedimiento", "anio"], "left")
-    extra = [c for c in values.columns if c not in ("procedimiento", "anio", "avance")]
+    base = F.when(is_current, F.col("meta")).otherwise(F.col("archivo"))
+    opened = rows.select("procedimiento", "anio", base.alias("base"), is_current.alias("_now"), F.inline(both))
+    # A past year in which nothing occurred has no projected row.
+    told = opened.where(F.col("_now") | F.col("avance").isNotNull())
+    return told.select("vista", "procedimiento", "anio", "avance", "base")
+
+
+def progress_summary(values: DataFrame, params: ReportParams) -> DataFrame:
+    """Value per measure and year with its share of the base: the year's total, or the target this year.
+
+    ``values`` is long: procedimiento, anio, avance, base, and a view name if there are several.
+    """
+    extra = [c for c in values.columns if c not in ("procedimiento", "anio", "avance", "base")]
     share = ratio(F.col("avance"), F.col("base"))
     goal = F.element_at(
         F.create_map(*[x for m in METRICS for x in (F.lit(m), F.lit(float(params.annual_targets[m])))]),
         F.col("procedimiento"),
     )
-    return rows.select(
+    return values.select(
         *extra,
         "procedimiento",
         "anio",
@@ -167,7 +184,7 @@ def progress_summary(values: DataFrame, totals: DataFrame, params: ReportParams)
         "base",
         share.alias("pct"),
         F.coalesce(thousands(F.col("avance")), F.lit("—")).alias("avance_txt"),
-        rounded_percent_text(percent_label(share)).alias("pct_txt"),
+        F.coalesce(percent_label(share), F.lit("")).alias("pct_txt"),
         thousands(goal).alias("meta_anual_txt"),
         percent_label(F.lit(params.target_share)).alias("objetivo_txt"),
     )

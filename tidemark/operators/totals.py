@@ -74,6 +74,15 @@ def year_totals(rows: DataFrame, years: Iterable[int], metrics: Sequence[str] =
     )
 
 
+def file_year_totals(rows: DataFrame, years: Iterable[int], metrics: Sequence[str] = METRICS) -> DataFrame:
+    """Totals of the chosen file years (``periodo``): all that a year's files hold, undated rows included."""
+    return (
+        rows.where(F.col("periodo").isin(*years))
+        .groupBy(F.col("periodo").cast("int").alias("anio"))
+        .agg(*sum_metrics(metrics))
+    )
+
+
 def total_of_year(table: DataFrame, metric: str, year: int) -> DataFrame:
     """One measure of one year from a yearly table; 0 when the year is missing."""
     return table.where(F.col("anio") == year).agg(sum_or_zero(F.col(metric)).alias(metric))

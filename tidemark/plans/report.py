@@ -10,8 +10,9 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.dates import in_years, up_to_same_day
 from tidemark.functions.text import MONTHS
-from tidemark.operators import attainment, fact, kpi, late, nowcast, ranking, series, totals, weekly
+from tidemark.operators import attainment, fact, kpi, late, nowcast, ranking, series, totals, views, weekly
 from tidemark.params import METRIC_TITLES, METRICS, PERSON_METRICS, ReportParams
 from tidemark.sources.inputs import ReportInputs
 from tidemark.sources.sinks import read_section, write_section
@@ -24,7 +25,7 @@ class Report:
 
     By default datasets are computed straight from the record scans. Once written, ``fact_table`` (partitioned
     by ``anio``) serves the datasets that look at facilities and ``summary_table`` (the same without
-    facilities) all others.
+    facilities) all others. Both have ``periodo`` and undated rows, which only totals of file years look at.
     """
 
     def __init__(
@@ -42,16 +43,21 @@ class Report:
     def activity(self, years=None) -> DataFrame:
         """Activity for datasets that do not look at facilities."""
         if self._summary_table is not None:
-            return self._summary_table
+            return self._summary_table.where(F.col("fecha").isNotNull()).drop("periodo")
         return self.facility_activity(years)
 
+    def activity_by_file(self, years=None) -> DataFrame:
+        """Activity with the year of each row's file, undated rows included."""
+        if self._summary_table is not None:
+            return self._summary_table
+        return fact.activity_by_file(self.inputs, self.params, years)
+
     def facility_activity(self, years=None) -> DataFrame:
         if self._fact_table is None:
             return fact.activity(self.inputs, self.params, years)
-        rows = self._fact_table
-        if years is not None:
-            rows = rows.where(F.col("anio").isin(*years))  # prunes partitions
-        return rows.drop("anio")
+        # Either condition prunes partitions.
+        wanted = F.col("anio").isNotNull() if years is None else F.col("anio").isin(*years)
+        return self._fact_table.where(wanted).drop("anio", "periodo")
 
     # -- dimensions, targets, nowcast ----------------------------------------------------------------
 
@@ -82,8 +88,9 @@ class Report:
         return totals.ytd_by_year(self.activity(), self.params)
 
     def year_totals(self) -> DataFrame:
+        """All that the files of each recent year hold."""
         years = self.params.recent_years
-        return totals.year_totals(self.activity(years), years)
+        return totals.file_year_totals(self.activity_by_file(years), years)
 
     def ytd_share_of_year(self) -> DataFrame:
         return totals.ytd_share_of_year(self.activity(self.params.recent_years), self.params)
@@ -144,16 +151,22 @@ class Report:
         )
 
     def progress_summary(self) -> DataFrame:
-        past = self.params.recent_years[:-1]
-        ytd = totals.ytd_by_year(self.activity(past), self.params)
-        projected = kpi.long_values(kpi.with_modelled_year(ytd, self.nowcast_daily(), self.params))
-        registered = self.late_registration_ytd().select(
-            "anio", "procedimiento", F.col("valor_fecha_insert").alias("avance")
-        )
-        values = projected.withColumn("vista", F.lit("proyectado")).unionByName(
-            registered.withColumn("vista", F.lit("registrado"))
+        """Occurred, registered and file-year totals are views of one scan of the activity."""
+        params, past = self.params, self.params.recent_years[:-1]
+        event, registered = F.col("fecha"), F.coalesce(F.col("fecha_insert"), F.col("fecha"))
+        occurred = in_years(event, past) & up_to_same_day(event, params.cutoff)
+        in_time = in_years(event, params.recent_years) & totals.registered_in_time(event, registered, params.cutoff)
+        yearly = views.compile_views(
+            self.activity_by_file(params.recent_years),
+            [
+                views.View("ocurrido", "evento", occurred),
+                views.View("registrado", "evento", in_time),
+                views.View("archivo", "archivo", F.col("periodo").isin(*past)),
+            ],
+            {"evento": F.year(event), "archivo": F.col("periodo")},
+            METRICS,
         )
-        return kpi.progress_summary(values, totals.year_totals(self.activity(past), past), self.params)
+        return kpi.progress_summary(kpi.progress_rows(yearly, self.nowcast_daily(), params), params)
 
     def indicator_growth_table(self) -> DataFrame:
         month = MONTHS[self.params.month - 1]
@@ -252,12 +265,12 @@ SECTIONS: dict[str, Callable[[Report], DataFrame]] = {
 
 
 def write_fact(inputs: ReportInputs, params: ReportParams, path: str) -> DataFrame:
-    """Write the daily fact partitioned by event year and read it back.
+    """Write the daily fact, with the year of each row's file, partitioned by event year, and read it back.
 
     Later steps prune years by partition and never repeat the record scans; a lost executor costs a re-read,
     not a recomputation.
     """
-    daily = fact.fact_daily(inputs, params).withColumn("anio", F.year("fecha"))
+    daily = fact.daily_by_file(inputs, params).withColumn("anio", F.year("fecha"))
     # Rebalancing puts a year into few files, and splits a large one.
     daily.hint("rebalance", "anio").write.mode("overwrite").partitionBy("anio").parquet(path)
     return daily.sparkSession.read.parquet(path)
