@@ -6,6 +6,7 @@ import random
 from datetime import date
 
 import pytest
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tests.helpers import day, one, rows
@@ -18,7 +19,8 @@ from tidemark.functions.aggregates import (
     strict_sum_if,
     sum_or_zero,
 )
-from tidemark.functions.ranking import global_row_number
+from tidemark.functions.ranking import Order, global_row_number
+from tidemark.plans.queries import QUERIES
 from tidemark.params import ReportParams
 
 
@@ -228,12 +230,62 @@ def test_global_row_number_matches_a_sort(spark):
     # A third of the rows share one value; ties go by key, NULLs go last.
     data = [(i, 0.0 if i % 3 == 0 else (None if i % 50 == 1 else rng.random())) for i in range(5000)]
     frame = spark.createDataFrame(data, "k long, v double").repartition(13)
-    ranked = global_row_number(frame, [F.col("v").asc_nulls_last(), F.col("k")], total_col="n")
+    ranked = global_row_number(frame, [Order(F.col("v")), Order(F.col("k"))], total_col="n")
     expected = sorted(data, key=lambda r: (r[1] is None, r[1] if r[1] is not None else 0.0, r[0]))
     got = sorted((r.posicion, r.k, r.n) for r in ranked.collect())
     assert got == [(i, k, 5000) for i, (k, _) in enumerate(expected, start=1)]
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_global_row_number_with_half_of_all_rows_tied(spark, descending):
+    frame = spark.range(20000).select(
+        F.when(F.col("id") % 2 == 0, 0.5).when(F.col("id") % 11 != 0, F.rand(5)).alias("v"),
+        F.concat(F.lit("IMB"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("k"),
+    )
+    by_key = [F.col("v").desc_nulls_last() if descending else F.col("v").asc_nulls_last(), F.col("k").asc()]
+    expected = frame.withColumn("n", F.row_number().over(Window.orderBy(*by_key)))
+    order = [Order(F.col("v"), descending), Order(F.col("k"))]
+    ranked = global_row_number(frame, order, "n", buckets=32)
+    assert rows(ranked) == rows(expected)
+    # No bucket is much larger than its share, ties or not.
+    sizes = [r["count"] for r in bucket_sizes(ranked).collect()]
+    assert len(sizes) == 33 and max(sizes) < 4 * 20000 / 33
+
+
+def bucket_sizes(ranked):
+    """Rows per window partition, read off the plan's own inputs."""
+    numbered = ranked._jdf.queryExecution().analyzed()
+    while "_inside" not in [a.name() for a in _seq(numbered.output())] or numbered.nodeName() != "Window":
+        numbered = numbered.children().head()
+    session = ranked.sparkSession
+    frame = session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, numbered)
+    return DataFrame(frame, session).groupBy("_bucket").count()
+
+
+def _seq(items):
+    return [items.apply(k) for k in range(items.length())]
+
+
 def test_global_row_number_of_nothing(spark):
     empty = spark.createDataFrame([], "k long, v double")
-    assert global_row_number(empty, [F.col("v"), F.col("k")]).count() == 0
+    assert global_row_number(empty, [Order(F.col("v")), Order(F.col("k"))]).count() == 0
+
+
+def test_global_row_number_of_equal_rows(spark):
+    frame = spark.range(300).select(F.lit(1).alias("k"))
+    ranked = global_row_number(frame, [Order(F.col("k"))], "n")
+    assert [r.n for r in ranked.orderBy("n").collect()] == list(range(1, 301))
+
+
+@pytest.mark.parametrize("name", ["surgery_ranking", "surgery_worst_ten", "surgery_zero_progress", "surgery_low_performers"])
+def test_rankings_start_no_job_while_they_are_built(spark, name):
+    group = f"built-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        frame = QUERIES[name](spark, "/root/testdata/sf0.001")
+        frame._jdf.queryExecution().executedPlan()
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
+        frame.collect()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) > 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.aggregates import null_safe_join, require_unique, sum_or_zero
 from tidemark.functions.dates import in_years
 from tidemark.functions.numbers import ratio
-from tidemark.functions.ranking import global_row_number
+from tidemark.functions.ranking import Order, global_row_number
 from tidemark.functions.text import facility_name
 from tidemark.operators.fact import exclude_listed, exclude_values
 from tidemark.params import ReportParams
@@ -60,7 +60,7 @@ def surgery_progress(
 
 def _rank(progress: DataFrame) -> DataFrame:
     # Equal ratios reached by different divisions may differ in the last bit, hence the rounding.
-    order = [F.round("_ratio", 9).asc_nulls_last(), F.col("clues").asc_nulls_last()]
+    order = [Order(F.round("_ratio", 9)), Order(F.col("clues"))]
     ranked = global_row_number(progress, order)
     return ranked.select(
         "posicion",
@@ -104,5 +104,5 @@ def half_pages(ranked: DataFrame, position: str = "posicion") -> DataFrame:
 
 
 def first_rows(ranked: DataFrame, count: int, position: str = "posicion") -> DataFrame:
-    """The top of a ranked table."""
-    return ranked.orderBy(position).limit(count)
+    """The top of a ranked table: its position already says which rows these are."""
+    return ranked.where(F.col(position) <= count)
