@@ -78,6 +78,21 @@ SELECT CAST(year(fecha) AS INTEGER) AS anio, fecha, coalesce(fecha_insert, fecha
 FROM act GROUP BY act.fecha, coalesce(act.fecha_insert, act.fecha)""",
 )
 
+ORACLES["fact_ordered"] = with_ctes(
+    "hist recs",
+    f"""
+, alle AS (
+  SELECT clues, fecha, CAST(NULL AS DATE) AS fecha_insert, CAST(NULL AS INTEGER) AS periodo, {", ".join(METRICS)} FROM hist
+  UNION ALL
+  SELECT clues, fecha, ins, CAST(least(y, 2000) AS INTEGER), 1, CASE WHEN flag = 'N' THEN 1 ELSE 0 END,
+         CASE WHEN flag = 'R' THEN 1 ELSE 0 END, CASE WHEN cir THEN 1 ELSE 0 END, CASE WHEN egr THEN 1 ELSE 0 END FROM recs)
+SELECT clues, fecha, fecha_insert, periodo, {sums()}, CAST(year(fecha) AS INTEGER) AS anio
+FROM alle GROUP BY clues, fecha, fecha_insert, periodo""",
+)
+
+# Many loads give what one build gives.
+ORACLES["incremental_summary"] = ORACLES["bitemporal_summary"]
+
 ORACLES["same_day_cutoff"] = with_ctes(
     "act",
     f"""

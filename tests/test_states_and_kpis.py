@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from datetime import date
 
 import pytest
@@ -11,8 +12,9 @@ from tests.helpers import activity, day, one, rows
 from tidemark import schemas
 from tidemark.operators import attainment, kpi, labels, ranking, series
 from tidemark.params import METRICS, PERSON_METRICS, ReportParams
+from tidemark.operators.incremental import FactStore
 from tidemark.plans.report import SECTIONS, Report, count_sections, write_report
-from tidemark.sources.sinks import read_section, read_section_history, section_path, write_section
+from tidemark.sources.sinks import ReportSink, read_section, read_section_history, section_path, write_section
 from tidemark.sources.starschema import PARAMS, StarSchemaInputs
 
 P = ReportParams(cutoff=date(2026, 6, 10))
@@ -324,10 +326,43 @@ def test_section_round_trip(spark, tmp_path):
     assert section_path("/r/", P.cutoff, "one") == "/r/report_date=2026-06-10/section=one"
 
 
-def test_written_report_equals_direct_results(spark, tmp_path):
+def test_a_run_that_fails_leaves_the_report_as_it_was(spark, tmp_path):
+    root, frame = str(tmp_path), spark.createDataFrame([(1,)], "a int")
+    write_section(frame, root, P.cutoff, "one")
+    write_section(frame, root, P.cutoff, "two")
+    sink = ReportSink(spark, root)
+    before = sink.sections(P.cutoff)
+    with pytest.raises(ValueError, match="half-way"):
+        with sink.run(P.cutoff) as run:
+            run.write(frame.withColumn("a", F.col("a") + 1), "one")
+            frame.write.parquet(f"{run.tables}/fact")
+            raise ValueError("half-way")
+    assert sink.sections(P.cutoff) == before and sink.clean() == []
+    # A run that is killed can't clean up; what it has written isn't seen, and goes with the next cleaning.
+    killed = sink.run(P.cutoff)
+    killed.write(frame.withColumn("a", F.col("a") + 2), "one")
+    frame.write.parquet(f"{killed.tables}/fact")
+    assert rows(read_section(spark, root, P.cutoff, "one")) == [(1,)]
+    # Two runs at once, of one date and of two: nothing is lost.
+    with sink.run(P.cutoff) as first, sink.run(P.cutoff) as second, sink.run(date(2026, 6, 17)) as other:
+        first.write(frame.withColumn("a", F.col("a") + 3), "one")
+        second.write(frame.withColumn("a", F.col("a") + 4), "two")
+        other.write(frame, "one")
+    assert rows(read_section(spark, root, P.cutoff, "one")) == [(4,)]
+    assert rows(read_section(spark, root, P.cutoff, "two")) == [(5,)]
+    assert rows(read_section(spark, root, date(2026, 6, 17), "one")) == [(1,)]
+    assert len(sink.clean()) == 2 and sink.clean() == []
+    assert not any(name.startswith("_tables") for name in os.listdir(root))
+    assert sorted(sink.sections(P.cutoff)) == ["one", "two"]
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_written_report_equals_direct_results(spark, tmp_path, stored):
     inputs = StarSchemaInputs(spark, "/root/testdata/sf0.001")
     picked = {n: SECTIONS[n] for n in ("late_registration_ytd", "surgery_zero_progress", "kpi_cards")}
-    names = write_report(inputs, PARAMS, str(tmp_path), picked)
+    store = FactStore(spark, str(tmp_path / "_store")) if stored else None
+    names = write_report(inputs, PARAMS, str(tmp_path), picked, store=store)
+    assert sorted(os.listdir(tmp_path)) == ["_manifests", *["_store"] * stored, "report_date=2000-06-14"]
     direct = Report(inputs, PARAMS)
     for name in names:
         stored = read_section(spark, str(tmp_path), PARAMS.cutoff, name)

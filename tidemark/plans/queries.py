@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import fact, kpi, labels, nowcast, ranking, series, totals, weekly
+from tidemark.operators.incremental import FactStore
 from tidemark.operators.totals import DayWindow
-from tidemark.plans.report import Report, count_sections, write_report
+from tidemark.plans.report import Report, count_sections, write_fact, write_report
 from tidemark.session import scratch_path
 from tidemark.sources import files
 from tidemark.sources.starschema import PARAMS, StarSchemaInputs
@@ -110,6 +112,23 @@ def bitemporal_summary(r: Report) -> DataFrame:
     return fact.bitemporal_summary(r.activity())
 
 
+@_query
+def fact_ordered(r: Report) -> DataFrame:
+    """The fact as a report writes it, in order of year and facility, read back."""
+    spark = r.inputs.visits.sparkSession
+    return write_fact(r.inputs, PARAMS, scratch_path(spark, "fact-ordered"))
+
+
+@_query
+def incremental_summary(r: Report) -> DataFrame:
+    """The bi-temporal summary from a store that several runs have kept up, each reading what was new to it."""
+    spark = r.inputs.visits.sparkSession
+    store = FactStore(spark, scratch_path(spark, "fact-store"))
+    for cutoff in (date(2000, 1, 31), date(2000, 3, 31), date(2000, 6, 7), PARAMS.cutoff):
+        store.load(r.inputs, replace(PARAMS, cutoff=cutoff))
+    return store.summary()
+
+
 # -- yearly totals ---------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -13,9 +12,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.dates import in_years, up_to_same_day
 from tidemark.functions.text import MONTHS
 from tidemark.operators import attainment, fact, kpi, late, nowcast, ranking, series, totals, views, weekly
+from tidemark.operators.incremental import FactStore
 from tidemark.params import METRIC_TITLES, METRICS, PERSON_METRICS, ReportParams
 from tidemark.sources.inputs import ReportInputs
-from tidemark.sources.sinks import read_section, write_section
+from tidemark.sources.sinks import ReportSink, ordered, read_section
 
 ALL_MEASURES = (*METRICS, *PERSON_METRICS)
 
@@ -271,8 +271,8 @@ def write_fact(inputs: ReportInputs, params: ReportParams, path: str) -> DataFra
     not a recomputation.
     """
     daily = fact.daily_by_file(inputs, params).withColumn("anio", F.year("fecha"))
-    # Rebalancing puts a year into few files, and splits a large one.
-    daily.hint("rebalance", "anio").write.mode("overwrite").partitionBy("anio").parquet(path)
+    # Ranges of year and facility: a year is in few files, and a facility's rows are in one or two of them.
+    ordered(daily, ["anio", "clues", "fecha", "fecha_insert"]).write.mode("overwrite").partitionBy("anio").parquet(path)
     return daily.sparkSession.read.parquet(path)
 
 
@@ -301,26 +301,32 @@ def write_report(
     root: str,
     sections: dict[str, Callable] | None = None,
     parallel_sections: int = 4,
+    store: FactStore | None = None,
 ) -> list[str]:
     """Write the fact and its facility-free summary once, then every section; returns the section names.
 
-    Record files and nowcasts are thus scanned once per report. Most sections need no facilities and read the
-    summary, whose size depends on the days covered, not on the number of records. Sections are independent
-    small jobs, so a few are submitted at a time.
+    Record files and nowcasts are thus scanned once per report, and with a store only what was registered since the last
+    run. Most sections need no facilities and read the summary, whose size depends on the days covered, not on the
+    number of records. Sections are independent small jobs, so a few are submitted at a time. The report appears when
+    all are written; the run's own tables go in any case.
     """
     sections = SECTIONS if sections is None else sections
-    # The leading underscore keeps these tables out of scans of the report's own folders; every run has its own.
-    base = f"{root.rstrip('/')}/_tables-{params.cutoff.isoformat()}-{uuid.uuid4().hex}"
-    rows = write_fact(inputs, params, f"{base}/fact_daily")
-    summary = _write_and_read(fact.without_facility(rows), f"{base}/fact_summary")
-    report = Report(StagedInputs(inputs, f"{base}/shared"), params, rows, summary)
-
-    def write(name: str) -> str:
-        write_section(sections[name](report), root, params.cutoff, name)
-        return name
-
-    with ThreadPoolExecutor(max_workers=parallel_sections) as pool:
-        return list(pool.map(inheritable_thread_target(rows.sparkSession)(write), sections))
+    spark = inputs.catalog.sparkSession
+    with ReportSink(spark, root).run(params.cutoff) as run:
+        if store is None:
+            rows = write_fact(inputs, params, f"{run.tables}/fact_daily")
+        else:
+            store.kept_up(inputs, params)
+            rows = store.rows(as_of=params.cutoff)
+        summary = _write_and_read(fact.without_facility(rows), f"{run.tables}/fact_summary")
+        report = Report(StagedInputs(inputs, f"{run.tables}/shared"), params, rows, summary)
+
+        def write(name: str) -> str:
+            run.write(sections[name](report), name)
+            return name
+
+        with ThreadPoolExecutor(max_workers=parallel_sections) as pool:
+            return list(pool.map(inheritable_thread_target(spark)(write), sections))
 
 
 def count_sections(spark, root: str, params: ReportParams, names: list[str]) -> DataFrame:
