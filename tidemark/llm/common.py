@@ -6,12 +6,14 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.session import scratch_path
+from tidemark.sources.folders import Folder
 
 #: Texts are turned into Python strings this many rows at a time, whatever the size of an Arrow batch.
 ROWS_AT_ONCE = 256
@@ -55,6 +57,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one run writes to the shared folder, below a folder that is removed once none is read any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._folder = Folder(spark, scratch_path(spark, name))
+        self._made = 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self._made += 1
+        path = self._folder.child(f"{self._made}-{name}")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(StructType(list(df.schema))).parquet(path)
+
+    def clear(self) -> None:
+        self._folder.remove()
+
+
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """2^bits bits, packed, little end first: set where a number of the column has its first `bits` bits.
+
+    Numbers are hashes of 64 bits. The driver gathers 64 bits a row, so what it gets is bounded by `bits` alone.
+    """
+    (name,) = hashes.columns
+    slots = hashes.select(F.shiftrightunsigned(F.col(name), 64 - bits).alias("slot"))
+    packed = slots.groupBy(F.expr("slot div 64").alias("place")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("set"))
+    found, whole = packed.toArrow(), np.zeros(1 << (bits - 6), np.int64)
+    whole[found["place"].to_numpy()] = found["set"].to_numpy()
+    return whole.view(np.uint8)
+
+
+def in_bitmap(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bitmap is set for each of the signed hashes."""
+    slots = hashes.view(np.uint64) >> np.uint64(64 - (len(packed).bit_length() + 2))
+    return (packed[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def text_size(column: str = "text"):
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("long")

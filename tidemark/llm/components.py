@@ -7,6 +7,8 @@ shuffled, each round's edges are written to the shared folder, and the driver se
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,11 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
     return moved.where(F.col("u") > F.col("v")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, written: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """node and root (its component's smallest node) for all nodes of edges (u, v), roots excepted.
 
-    Nodes are numbers; loops, repeated edges and edges with a null end are passed over.
+    Nodes are numbers; loops, repeated edges and edges with a null end are passed over. `written` may put the rounds'
+    tables into a folder of the caller's.
     """
     ordered = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     current = written(ordered.where(F.col("u") > F.col("v")).distinct(), "edges")
