@@ -151,6 +151,79 @@ def test_names_that_tell_what_else_there_is():
     assert main_text(f"<body><div class='content'><p>{text}</p></div><div id='site-header'>{text}</div></body>") == shown
 
 
+LONG = "A long paragraph of the main text, with words enough to be kept by any ratio of text to tags."
+
+
+def test_broken_markup_is_skipped():
+    assert main_text("<![foo bar]]> x") == "x"
+    assert main_text(f"<p>{LONG}</p><![if IE]><p>more</p><![endif]><![CDATA[ <p>no</p> ]]><!x y>") == f"{LONG}\n\nmore"
+    for cut in ("<p", '<a href="', "<!-- no comment", "</di", "<?php echo", "<!DOCTYPE ht", "<![", '<p class="x" title=\'a'):
+        assert main_text(f"<p>{LONG}</p>{cut}") == LONG
+    assert main_text("<p>a < b & c &lt; d</p>") == "a < b & c < d"
+
+
+def test_inline_elements_left_out_part_nothing():
+    page = "<article><p>Let <math><mi>x</mi></math> be.</p><table><tr><td>cell</td></tr></table><pre>code\n here</pre></article>"
+    assert main_text(page) == "Let x be.\n\ncell\n\ncode here"
+    page = f"<article><p>One <span aria-hidden='true'>no <span>no</span> no</span>two</p><p>{LONG}</p><p>x</p></article>"
+    assert main_text(page) == f"One two\n\n{LONG}\n\nx"
+    page = f"<div><p>{LONG} <svg><text>no</text></svg>{LONG}</p><p>end</p></div>"
+    assert main_text(page) == f"{LONG} {LONG}\n\nend"
+
+
+def test_only_names_that_say_so_as_a_whole_leave_out():
+    for name in ("related-work", "search-algorithm", "notice-board", "alert-level", "side-effects", "banner-years"):
+        page = f"<article><p>{LONG}</p><section id='{name}'><h2>Part</h2><p class='{name}'>{LONG}</p></section></article>"
+        assert main_text(page) == f"{LONG}\n\nPart\n\n{LONG}", name
+    for name in ("notice", "cookie-notice", "related-posts", "share-buttons", "comment-list", "sidebarLeft", "ad_slot"):
+        assert main_text(f"<article><p>{LONG}</p><div class='{name}'>{LONG}</div><p class='{name}'>no<p>z</article>") == f"{LONG}\n\nz", name
+
+
+def test_forms():
+    fields = "<form action=x><p>Your name</p><input name=a><label>Mail</label></form>"
+    for page in (f"<article><p>{LONG}</p></article>", f"<div><h1>T</h1><p>{LONG}</p></div>"):
+        expected = main_text(f"<body>{page}</body>")
+        assert LONG in expected
+        assert main_text(f"<body><form id=aspnet>{page}</form></body>") == expected
+        assert main_text(f"<body>{page}{fields}</body>") == main_text(f"<body><form>{page}</form>{fields}</body>") == expected
+    assert main_text(f"<article><p>{LONG}</p>{fields}<p>end</p></article>") == f"{LONG}\n\nend"
+
+
+def test_ratio_decides_where_no_article_is_marked():
+    links = "<div>" + "<a href=x>go</a> <i>on</i> " * 6 + "</div>"
+    body = f"<div><h2>Head</h2><p>{LONG} {LONG}</p><p>{LONG}</p><p>Short.</p></div>"
+    text = f"Head\n\n{LONG} {LONG}\n\n{LONG}\n\nShort."
+    assert main_text(f"<body>{links}{links}{links}{body}{links}{links}{links}</body>") == text
+    from_all = main_text(f"<body>{links}{body}{links}</body>", share=0.0)
+    assert "go on" in from_all and text in from_all
+
+
+def test_malformed_pages_give_no_markup_and_no_error():
+    draw = random.Random(88)
+    pieces = ["<p>", "</p>", "<div class='x y'>", "</div>", "<article>", "</article>", "<form>", "</form>", "<!-- c -->", "<![x[", "]]>",
+              "<!a b>", "<?pi?>", "word ", "&amp;", "<b>", "</b>", "<span hidden>", "</span>", "<br/>", "<nav/>", "<td>", "<li>", "&#12", "<a b='c'>"]
+    for _ in range(1500):
+        page = "".join(draw.choices(pieces, k=draw.randint(1, 25)))
+        page = page[: draw.randint(0, len(page))]
+        found = main_text(page)
+        assert "<" not in found and "class" not in found and "c -->" not in found, (page, found)
+
+
+@pytest.mark.parametrize("tag,other", [("div", "span"), ("span", "div"), ("b", "i"), ("p class=x", "b"), ("section hidden", "ul"), ("article", "nav")])
+def test_deep_nesting_takes_time_in_proportion(tag, other):
+    import time
+
+    n = 100_000
+    started = time.process_time()
+    main_text(f"<{other}>" + f"<{tag}>" * n + "x" + f"</{other}>" * n + f"</{tag.split()[0]}>" * n)
+    assert time.process_time() - started < 10  # a stack walked for each tag would take minutes
+
+
+def test_empty_table_of_pages(spark):
+    frame = spark.createDataFrame([], "page_id long, url string, html string, text int, n_chars string")
+    assert extract(frame).collect() == [] and extract(frame).columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_pages_query(spark):
     import html
     import re

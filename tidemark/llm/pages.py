@@ -1,22 +1,28 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser streams events. They become lines, one for each block of text, each with the number of
-its characters and of the tags met since the line before. What stands in elements that never hold an article
-(scripts, menus, forms and so on), or in ones whose class, id or role says so, is left out and parts the lines into
-regions. Names that tell what else there is (`has-sidebar`, `category-social`, `comments-open`) don't count, nor do
-any of an article or main element that isn't inside another one or a block left out, nor `header` inside an article. If the page marks an article or main part, lines outside it are left out too; if not, each division or
-section of the page is a region of its own. The ratios of characters to
-tags are smoothed with a Gaussian, and lines are clustered by a threshold at a share of the page's spread of ratios:
-a region stays, whole, if any line of it lies in the upper cluster. So a short paragraph or heading inside an article
-stays with it. Where nothing reaches the threshold, the region with the highest ratio stays.
-
-Null, empty and text-free pages give an empty text. Repeated rows give repeated results; other columns are ignored.
-Pages are read whole, whatever their length.
+its characters and of the tags met since the line before. What stands in elements that never hold an article (scripts,
+menus and so on), or in ones with a class, id or role that as a whole says so, is left out; a block left out parts the
+lines into regions, an inline element doesn't. Names that tell something else (`has-sidebar`, `related-work`,
+`notice-board`, `comments-open`) don't count, nor do any of an article or main element that isn't inside another one or
+a block left out, nor `header` inside an article. Forms are left out, but for one that holds an article or main element,
+or over half of the page's text with a paragraph in it: some servers wrap whole pages.
+
+If the page marks an article or main part, its lines are the result. If not, each division or section of the page is a
+region of its own; the ratios of characters to tags are smoothed with a Gaussian, and lines are clustered by a threshold
+at a share of the page's spread of ratios: a region stays, whole, if any line of it lies in the upper cluster. So a
+short paragraph or heading inside an article stays with it. Where nothing reaches the threshold, the region with the
+highest ratio stays.
+
+Null, empty and text-free pages give an empty text. Broken markup is skipped: declarations of any form, and a tag or
+comment that the page ends in. Repeated rows give repeated results, an empty table none; other columns are ignored.
+Pages are read whole, whatever their length, in time that grows with it, however deep elements are nested.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -34,7 +40,7 @@ BLOCK = frozenset(
 )
 #: Elements that hold no article text.
 OUTSIDE = frozenset(
-    "head title script style noscript template iframe object svg math canvas audio video nav menu aside footer form "
+    "head title script style noscript template iframe object svg canvas audio video nav menu aside footer "
     "button select textarea dialog search fieldset".split()
 )
 CONTENT = frozenset(("article", "main"))
@@ -47,24 +53,31 @@ BESIDE = re.compile(
     r"signup|login|social|shar(?:e|ing)|comments?|replies|reply|disqus|respond|related|recommend\w*|widgets?|"
     r"toolbar|pagination|pager|search|complementary|contentinfo|navigation|banner|dialog)$"
 )
+#: Words that may stand with those: they tell form and place, not another thing.
+WITH_BESIDE = re.compile(
+    r"^(?:area|articles?|bars?|blocks?|body|bottom|box(?:es)?|btns?|buttons?|col(?:umn)?|container|content|entry|form|global|"
+    r"holder|icons?|inner|items?|js|layout|left|links?|lists?|main|page|panels?|post|posts?|primary|region|right|rows?|"
+    r"secondary|section|site|slots?|stories|story|threads?|top|units?|user|web|wrap(?:per)?|\d+)$"
+)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _MARKING = ("class", "id", "role")
 
 
-#: Words of a name after which it tells what else the page or element has, and first and last words of such a name.
-_WITH = frozenset("has have no not with without".split())
+#: First words of a name that tell what it doesn't hold itself, and last words that tell a state.
 _ABOUT, _STATE = frozenset("category cat tag".split()), frozenset("open opened closed enabled disabled".split())
 _HEADER, _ARTICLE = frozenset(("header", "headers")), frozenset("article content entry post story".split())
 
 
 def _marks(name: str, in_article: bool) -> bool:
-    """Whether one name of a class, id or role says that its element stands beside the article."""
+    """Whether one name of a class, id or role says, as a whole, that its element stands beside the article."""
     words = [w.lower() for w in _WORD.findall(name)]
     if len(words) > 1 and (words[0] in _ABOUT or words[-1] in _STATE):
         return False
-    words = words[: next((k for k, w in enumerate(words) if w in _WITH), len(words))]
     own_header = in_article or not _ARTICLE.isdisjoint(words)
-    return any(BESIDE.match(w) and not (own_header and w in _HEADER) for w in words)
+    beside = [bool(BESIDE.match(w)) for w in words]
+    if own_header and all(w in _HEADER for w, b in zip(words, beside) if b):
+        return False
+    return any(beside) and all(b or WITH_BESIDE.match(w) for w, b in zip(words, beside))
 
 
 def _hidden(attributes: list[tuple[str, str | None]]) -> bool:
@@ -77,22 +90,49 @@ def _beside(attributes: list[tuple[str, str | None]], in_article: bool) -> bool:
     return any(_marks(name, in_article) for name in names)
 
 
+@dataclass
+class Form:
+    """What a form on a page holds."""
+
+    holds_article: bool = False
+    has_paragraph: bool = False
+    chars: int = 0
+
+
+@dataclass(frozen=True)
+class Line:
+    """A block of text: the tags before and in it, its region and part, whether an article or main element holds it, its forms."""
+
+    text: str
+    tags: int
+    region: int
+    part: int
+    content: bool
+    forms: tuple[Form, ...]
+
+
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags before and in it, region, part, in an article or main element)."""
+    """The lines of a page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self._open: list[tuple[str, bool]] = []  # elements that can be left, and whether each is left out
+        self.lines: list[Line] = []
+        self._open: list[tuple[str, bool]] = []  # open elements, and whether each is left out
+        self._places: dict[str, list[int]] = {}  # of the open elements of a name
+        self._blocks: list[int] = []  # places of the open blocks
         self._parts: list[int] = [0]
-        self._out = self._content = self._tags = self._region = self._made = 0
+        self._forms: list[Form] = []
+        self._outs: list[int] = []  # places of the open elements left out
+        self._out = self._hard = self._content = self._tags = self._region = self._made = 0
         self._text: list[str] = []
 
     def _end_line(self) -> None:
         text = " ".join("".join(self._text).split())
         self._text.clear()
         if text:
-            self.lines.append((text, self._tags, self._region, self._parts[-1], self._content > 0))
+            for form in self._forms:
+                form.chars += len(text)
+            self.lines.append(Line(text, self._tags, self._region, self._parts[-1], self._content > 0, tuple(self._forms)))
             self._tags = 0
 
     def handle_starttag(self, tag, attrs):
@@ -103,22 +143,42 @@ class Lines(HTMLParser):
             self._text.append(" ")
         if tag in VOID:
             return
+        if tag in BLOCK:
+            self._close("p")  # a paragraph ends where the next block begins
+        if tag == "p":
+            if self._forms and not self._out:
+                self._forms[-1].has_paragraph = True
+            if not attrs:
+                return  # nothing hangs on where it ends
         out = tag in OUTSIDE or tag == "header" and not self._content
         if not out and attrs and tag not in ("html", "body"):
             # Names leave out an article only inside another one or a block left out, as a reader's comment.
             named = tag not in CONTENT or self._content or self._out
             out = _hidden(attrs) or bool(named) and _beside(attrs, self._content > 0)
-        if tag in CONTENT and not out and self._out and not any(o and t in OUTSIDE for t, o in self._open):
+        if tag in CONTENT and not out and self._out and not self._hard:
             # An article that starts while a marked block is still open: that block was never closed.
-            self._leave(next(k for k, (_, o) in enumerate(self._open) if o))
-        if out or tag in BLOCK and tag != "p":
-            self._open.append((tag, out))
-            self._out += out
+            self._leave(self._outs[0])
+        if tag == "p" and not out:
+            return
+        self._places.setdefault(tag, []).append(len(self._open))
+        if tag in BLOCK:
+            self._blocks.append(len(self._open))
             self._region += out
-            self._content += tag in CONTENT and not self._out
-            if tag in PART:
-                self._made += 1
-                self._parts.append(self._made)
+        if out:
+            self._outs.append(len(self._open))
+        self._open.append((tag, out))
+        self._out += out
+        self._hard += out and tag in OUTSIDE
+        if tag in CONTENT and not self._out:
+            self._content += 1
+            for form in self._forms:
+                form.holds_article = True
+        if tag in PART:
+            self._made += 1
+            self._parts.append(self._made)
+        if tag == "form":
+            self._forms.append(Form())
+            self._region += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -129,27 +189,50 @@ class Lines(HTMLParser):
         self._tags += 1
         if tag in BLOCK:
             self._end_line()
-        for k in range(len(self._open) - 1, -1, -1):
-            if self._open[k][0] == tag:
-                self._leave(k)
-                break
+        self._close(tag)
+
+    def _close(self, tag: str) -> None:
+        """Leave the innermost element of this name; an inline one only within its block."""
+        places = self._places.get(tag)
+        if places and (tag in BLOCK or not self._blocks or places[-1] > self._blocks[-1]):
+            self._leave(places[-1])
 
     def _leave(self, k: int) -> None:
         """Close the k-th open element and all inside it."""
-        self._end_line()
+        if self._blocks and self._blocks[-1] >= k:
+            self._end_line()
         while len(self._open) > k:
             tag, out = self._open.pop()
+            self._places[tag].pop()
             self._content -= tag in CONTENT and not self._out
             self._out -= out
-            self._region += out
+            self._hard -= out and tag in OUTSIDE
+            if out:
+                self._outs.pop()
+            if tag in BLOCK:
+                self._blocks.pop()
+                self._region += out
             if tag in PART:
                 self._parts.pop()
+            if tag == "form":
+                self._forms.pop()
+                self._region += 1
 
     def handle_data(self, data):
         if not self._out:
             self._text.append(data)
 
+    def parse_html_declaration(self, i):
+        """The place after a comment or any other declaration, -1 if it doesn't end."""
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        end = "]]>" if self.rawdata.startswith("<![CDATA[", i) else ">"
+        at = self.rawdata.find(end, i + 2)
+        return at + len(end) if at >= 0 else -1
+
     def close(self):
+        if re.match("<(?:[a-zA-Z/!?]|$)", self.rawdata):
+            self.rawdata = ""  # the page ends in a tag or comment
         super().close()
         self._end_line()
 
@@ -167,17 +250,21 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.5) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = parser.lines
-    marked = any(content for *_, content in lines)
-    if marked:
-        lines = [line for line in lines if line[-1]]
+    total = sum(len(line.text) for line in parser.lines)
+    lines = [line for line in parser.lines if all(_wraps(form, total) for form in line.forms)]
+    if any(line.content for line in lines):
+        return "\n\n".join(line.text for line in lines if line.content)
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(line[0]) / max(1, line[1]) for line in lines]), sigma)
+    ratios = smoothed(np.array([len(line.text) / max(1, line.tags) for line in lines]), sigma)
     limit = min(share * ratios.std(), ratios.max())
-    regions = [line[2:3] if marked else line[2:4] for line in lines]
-    stays = {region for region, ratio in zip(regions, ratios) if ratio >= limit}
-    return "\n\n".join(line[0] for line, region in zip(lines, regions) if region in stays)
+    stays = {(line.region, line.part) for line, ratio in zip(lines, ratios) if ratio >= limit}
+    return "\n\n".join(line.text for line in lines if (line.region, line.part) in stays)
+
+
+def _wraps(form: Form, total: int) -> bool:
+    """Whether a form is no form to fill in, but holds the page."""
+    return form.holds_article or form.has_paragraph and 2 * form.chars > total
 
 
 def extract(pages: DataFrame, sigma: float = 1.0, share: float = 0.5) -> DataFrame:
