@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.test_near_copies import first_of_near_copies
 from tidemark.llm import licenses, mixing, nearest, preferences
-from tidemark.llm.license_texts import TEMPLATES
+from tidemark.llm.license_texts import TEMPLATES, VERSIONED
 from tidemark.llm.pages import extract, main_text
 from tidemark.llm.queries import ORACLES, QUERIES
 
@@ -99,6 +99,57 @@ def test_licence_spans(spark, docs_of):
     assert licenses.scan_licenses(docs_of([])).count() == 0
 
 
+GNU = (
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU %sGeneral Public "
+    "License as published by the Free Software Foundation; either version %s of the License, or (at your option) any later "
+    "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+    "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU %sGeneral Public License for more "
+    "details."
+)
+
+
+def licences_in(text):
+    return [name for name, *_ in licenses.Scanner(TEMPLATES, 0.8).scan(f"Some words before. {text} And words after.")]
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        (GNU % ("", "2", ""), ["gpl-2.0"]),
+        (GNU % ("", "3", ""), ["gpl-3.0"]),
+        (GNU % ("", "4", ""), []),
+        (GNU % ("Affero ", "3", "Affero "), ["agpl-3.0"]),
+        (GNU % ("Lesser ", "2.1", "Lesser "), ["lgpl-2.1"]),
+        (GNU % ("Library ", "2", "Library "), []),
+        ("Licensed under CC BY-ND 4.0.", ["cc-by-nd-4.0-notice"]),
+        ("Licensed under CC BY-NC-SA 4.0.", ["cc-by-nc-sa-4.0-notice"]),
+        ("Licensed under CC BY-NC 2.5.", []),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", ["cc-by-sa-3.0"]),
+        (TEMPLATES["bsd-3-clause-full"].replace("1.", "*").replace("2.", "*").replace("3.", "*"), ["bsd-3-clause-full"]),
+        (TEMPLATES["bsd-3-clause"], ["bsd-3-clause"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["lgpl-3.0-notice"]),
+        ("Released under the CC0 1.0 Universal Public Domain Dedication.", ["cc0-1.0-notice"]),
+        ("Licensed under the Apache License, Version 1.1.", []),
+    ],
+)
+def test_near_twins_are_told_apart(text, expected):
+    assert licences_in(text) == expected
+
+
+def test_every_template_is_found_as_itself_also_when_edited():
+    draw = random.Random(55)
+    for name, text in TEMPLATES.items():
+        assert licences_in(text) == [name]
+        words = text.split()
+        plain = [k for k, w in enumerate(words[1:-1], 1) if w.isalpha() and w.islower() and w not in VERSIONED]
+        for _ in range(5 if len(words) > 30 else 0):  # a twentieth of the words lost, replaced or doubled
+            edited = list(words)
+            for k in sorted(draw.sample(plain, len(words) // 20), reverse=True):
+                edited[k : k + 1] = draw.choice(([], ["other"], [words[k], "more"]))
+            found = licences_in(" ".join(edited))
+            assert found in ([name], [name.removesuffix("-full")]), (name, found)
+
+
 def test_every_planted_notice_is_found(spark):
     rows = {(r.doc_id, r.license) for r in QUERIES["op5_license_scan"](spark, DATA).collect()}
     names = ("mit-notice", "apache-2.0-notice", "gpl-3.0-notice", "cc-by-nc-4.0-notice")

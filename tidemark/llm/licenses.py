@@ -4,10 +4,13 @@ Texts and templates are sequences of words in lower case. Every run of three wor
 hashes the smaller is kept, so any four words that a text shares with a template leave a common fingerprint. An
 inverted index leads from fingerprints to places in templates. Hits of a template on nearby diagonals are one
 candidate; the template is aligned with the words there, within a band around the diagonals, counting equal words in
-order. A candidate is reported if the matched words are at least `coverage` of the template's (0.8 by default). Of
+order. A candidate is reported if the matched words are at least `coverage` of the template's (0.8 by default) and the
+stretch names the same licence: words that tell licences apart (`lesser`, `nc`, ...) and the numbers of a version must be
+those of the template, no other and none less, so a near twin with a word or number of its own is not taken for it. Of
 reports that overlap, the one with the most matched words stays, then the one with the highest coverage, the first.
 
-Null and empty texts give no rows, repeated rows give repeated results, extra columns are ignored. Texts are scanned
+Null and empty texts give no rows, nor does an empty table; repeated rows give repeated results, extra columns are
+ignored. Texts are scanned
 whole; a word of any length is one word.
 """
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import BoundedCache, slices
-from tidemark.llm.license_texts import TEMPLATES
+from tidemark.llm.license_texts import TELLING, TEMPLATES, VERSIONED
 
 #: Words of a fingerprinted run, and adjacent runs of which one is kept.
 RUN, WINDOW = 3, 2
@@ -76,6 +79,21 @@ def aligned(template: list[str], words: list[str], first: int, last: int) -> tup
     return best[0], best[2], best[3]
 
 
+def naming(words: list[str]) -> frozenset[str]:
+    """What tells a licence from its near twins: telling words, and versions as numbers in order."""
+    found, version = set(), []
+    for k, word in enumerate(words):
+        if word.isdigit() and (version or k and words[k - 1] in VERSIONED):
+            version.append(word)
+            continue
+        if version:
+            found.add(".".join(version).removesuffix(".0"))
+            version = []
+        if word in TELLING:
+            found.add(word)
+    return frozenset(found | ({".".join(version).removesuffix(".0")} if version else set()))
+
+
 class Scanner:
     """The templates' inverted index, and scans of one worker's texts."""
 
@@ -84,6 +102,7 @@ class Scanner:
         self.hashes = BoundedCache(lambda word: zlib.crc32(word.encode()), 300_000, 64)
         self.names = list(templates)
         self.templates = [_WORD.findall(text.lower()) for text in templates.values()]
+        self.named = [naming(words) for words in self.templates]
         places = defaultdict(list)
         for number, words in enumerate(self.templates):
             hashes = run_hashes(self._numbers(words))
@@ -129,7 +148,7 @@ class Scanner:
                 # Only the words that the band can reach are looked at.
                 low, high = max(0, first), min(len(words), last + len(template))
                 count, start, end = aligned(template, words[low:high], first - low, last - low)
-                if count >= self.coverage * len(template):
+                if count >= self.coverage * len(template) and naming(words[low + start : low + end]) == self.named[number]:
                     matches.append((-count, -count / len(template), low + start, low + end, self.names[number]))
         kept: list[tuple] = []  # by start, without overlaps
         for match in sorted(matches):
