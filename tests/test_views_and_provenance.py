@@ -185,3 +185,72 @@ def test_hot_legacy_code_with_broadcasts_off(spark):
     with settings(spark, **NO_BROADCAST):
         found = fact.resolve_facility_codes(cube, catalog).groupBy("clues").agg(F.sum("consultas_totales").alias("n"))
         assert rows(found) == [("XXIMB1", 430), ("XXIMB2", 1), ("XXIMB7", 1)]
+
+
+# -- declared schemas, ranges, one pass ------------------------------------------------------------------
+
+
+def jobs_of(spark, name, action) -> int:
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        action()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_many_files_start_as_many_jobs_as_few(spark, tmp_path):
+    from tidemark.sources.files import drift, merging_groups, scan_union_by_name
+
+    frame = spark.createDataFrame([("XXIMB1", date(2025, 1, 1))], "clues string, fecha_insert date")
+    frame.repartition(1).write.parquet(str(tmp_path / "f0"))
+    part = next((tmp_path / "f0").glob("*.parquet")).read_bytes()
+    for k in range(1, 200):
+        (tmp_path / f"f{k}").mkdir()
+        (tmp_path / f"f{k}" / "part.parquet").write_bytes(part)
+    paths = [str(tmp_path / f"f{k}") for k in range(200)]
+    few = jobs_of(spark, "few", lambda: scan_union_by_name(spark, paths[:4]))
+    # Listing many folders is a job of its own, whatever their number.
+    assert jobs_of(spark, "many", lambda: scan_union_by_name(spark, paths)) <= few + 1
+    assert scan_union_by_name(spark, paths).count() == 200
+    frame.select("clues", F.lit("2025-01-02").alias("fecha_insert"), F.lit(1).alias("extra")).write.parquet(str(tmp_path / "other"))
+    mixed = [*paths[:100], str(tmp_path / "other"), *paths[100:]]
+    read = scan_union_by_name(spark, mixed)
+    assert dict(read.dtypes)["fecha_insert"] == "string" and rows(read.groupBy("extra").count()) == [(None, 200), (1, 1)]
+    found = drift(merging_groups(spark, mixed), schemas.EPISODES)
+    by_column = {}
+    for d in found:
+        by_column.setdefault((d.column, d.declared, d.delivered), []).extend(d.paths)
+    assert by_column[("extra", None, "int")] == by_column[("fecha_insert", "timestamp_ntz", "string")] == [mixed[100]]
+    assert len(by_column[("fecha_egreso", "timestamp_ntz", None)]) == 201
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        merging_groups(spark, [str(tmp_path / "none"), paths[0]])
+
+
+def test_records_conform_to_their_schema(spark):
+    from tidemark.sources.files import conform
+
+    delivered = spark.createDataFrame([(7, "2024-02-30", date(2024, 1, 1), "x")], "clues int, fecha_consulta string, fecha_insert date, more string")
+    found = conform(delivered, schemas.VISITS)
+    assert found.dtypes == [("clues", "string"), ("fecha_consulta", "string"), ("fecha_insert", "date"), ("tipo_consulta", "string")]
+    assert rows(found) == [("7", "2024-02-30", date(2024, 1, 1), None)]
+
+
+def test_same_day_ranges(spark):
+    from tidemark.functions.dates import up_to_same_day
+
+    days = spark.sql("SELECT explode(sequence(DATE '2022-12-25', DATE '2025-01-05')) AS d")
+    for cutoff in (date(2026, 6, 10), date(2024, 2, 29), date(2023, 12, 31)):
+        by_number = days.where(up_to_same_day(F.col("d"), cutoff) & F.year("d").isin(2023, 2024))
+        assert rows(days.where(up_to_same_day(F.col("d"), cutoff, [2024, 2023]))) == rows(by_number)
+    assert days.where(up_to_same_day(F.col("d"), date(2024, 2, 29), [2023])).count() == 0
+
+
+def test_growth_table_reads_to_the_same_day(spark):
+    tree = plan_of(QUERIES["indicator_growth_table"](spark, SF_DIR))
+    assert re.search(r"l_shipdate#\d+ < 1999-06-15", tree) and re.search(r"l_shipdate#\d+ < 2000-06-15", tree)
+
+
+@pytest.mark.parametrize("name", ["period_bands", "anniversary_points"])
+def test_series_statistics_take_one_scan(spark, name):
+    assert scans(QUERIES[name](spark, SF_DIR), "orders") == 1

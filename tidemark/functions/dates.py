@@ -38,12 +38,16 @@ def same_day_in_year(year: Column, day: date) -> Column:
     return built
 
 
-def up_to_same_day(column: Column, day: date) -> Column:
+def up_to_same_day(column: Column, day: date, years: Iterable[int] | None = None) -> Column:
     """TRUE when a date falls on or before ``day``'s month and day of its own year.
 
     Compares month and day numbers, so no date is built per row. A 29 February cut-off has no counterpart
-    in common years and admits nothing there.
+    in common years and admits nothing there. With ``years`` only dates of these do, as a range of each year:
+    unlike the comparison, ranges push down to the scan.
     """
+    if years is not None:
+        known = [y for y in sorted(set(years)) if (day.month, day.day) != (2, 29) or calendar.isleap(y)]
+        return _any(between_days(column, date(y, 1, 1), day.replace(year=y)) for y in known)
     reached = F.month(column) * 100 + F.dayofmonth(column) <= day.month * 100 + day.day
     if (day.month, day.day) == (2, 29):
         return reached & is_leap(F.year(column))

@@ -32,8 +32,9 @@ def period_bands(series: DataFrame, params: ReportParams, value: str = "consulta
             F.lit(number).alias("banda"), F.lit(b.label).alias("etiqueta"), F.lit(b.label_height).alias("altura")
         )
         band = F.when(between_days(F.col("fecha"), b.start, b.end), struct).otherwise(band)
-    # Scalar subqueries: two numbers over the series, so that no window has to gather it in one task.
-    top, bottom = rows.agg(F.max(value)).scalar(), rows.agg(F.min(value)).scalar()
+    # A series has a row a month, so one window over all of it reads it once and is small.
+    whole = Window.partitionBy()
+    top, bottom = F.max(value).over(whole), F.min(value).over(whole)
     return rows.withColumn("_band", band).select(
         "fecha",
         value,
@@ -51,10 +52,11 @@ def anniversary_points(series: DataFrame, params: ReportParams, value: str = "co
     Of several rows of the last date the one with the largest value stays.
     """
     rows = _in_range(series, params).select("fecha", value)
-    is_last = F.col("fecha") == rows.agg(F.max("fecha")).scalar()
-    earlier = rows.where((F.month("fecha") == params.anniversary_month) & ~is_last)
-    last = rows.orderBy(F.col("fecha").desc(), F.col(value).desc_nulls_last()).limit(1)
-    marked = earlier.withColumn("_last", F.lit(False)).unionByName(last.withColumn("_last", F.lit(True)))
+    # A row a month: the window is small, and the series is read once.
+    backwards = Window.orderBy(F.col("fecha").desc(), F.col(value).desc_nulls_last())
+    placed = rows.select("*", F.row_number().over(backwards).alias("_place"), F.max("fecha").over(backwards).alias("_end"))
+    earlier = (F.month("fecha") == params.anniversary_month) & (F.col("fecha") < F.col("_end"))
+    marked = placed.withColumn("_last", F.col("_place") == 1).where(F.col("_last") | earlier)
     month = MONTHS[params.anniversary_month - 1]
     label = F.concat(thousands(F.bround(value, 0)), F.lit(f"\n{month} "), F.year("fecha").cast("string"))
     return marked.select(

@@ -45,10 +45,10 @@ def same_day_cutoff(rows: DataFrame, params: ReportParams) -> DataFrame:
     )
 
 
-def ytd_by_year(rows: DataFrame, params: ReportParams) -> DataFrame:
-    """As-occurred totals of every year up to the cut-off's day."""
+def ytd_by_year(rows: DataFrame, params: ReportParams, years: Iterable[int] | None = None) -> DataFrame:
+    """As-occurred totals of every year, or of the years named, up to the cut-off's day."""
     return (
-        rows.where(up_to_same_day(F.col("fecha"), params.cutoff))
+        rows.where(up_to_same_day(F.col("fecha"), params.cutoff, years))
         .groupBy(F.year("fecha").alias("anio"))
         .agg(*sum_metrics(METRICS))
     )

@@ -126,7 +126,8 @@ class Report:
 
     def growth(self, measures=ALL_MEASURES) -> DataFrame:
         """Growth needs the reference years alone, the current one being modelled: no other year is read."""
-        ytd = totals.ytd_by_year(self.activity(self.params.growth_reference_years), self.params)
+        years = self.params.growth_reference_years
+        ytd = totals.ytd_by_year(self.activity(years), self.params, years)
         wide = kpi.kpi_wide(ytd, self.nowcast_daily(), self.persons_by_year(), self.params)
         return kpi.growth_long(wide, measures, self.params)
 
@@ -154,7 +155,7 @@ class Report:
         """Occurred, registered and file-year totals are views of one scan of the activity."""
         params, past = self.params, self.params.recent_years[:-1]
         event, registered = F.col("fecha"), F.coalesce(F.col("fecha_insert"), F.col("fecha"))
-        occurred = in_years(event, past) & up_to_same_day(event, params.cutoff)
+        occurred = up_to_same_day(event, params.cutoff, past)
         in_time = in_years(event, params.recent_years) & totals.registered_in_time(event, registered, params.cutoff)
         yearly = views.compile_views(
             self.activity_by_file(params.recent_years),
@@ -172,7 +173,7 @@ class Report:
         month = MONTHS[self.params.month - 1]
         text_year = F.concat(F.lit(f"Enero-{month} "), F.col("anio").cast("string"))
         years = self.params.years[-2:]
-        ytd = totals.ytd_by_year(self.activity(years), self.params)
+        ytd = totals.ytd_by_year(self.activity(years), self.params, years)
         return kpi.indicator_growth_table(
             ytd.withColumn("anio", text_year), METRIC_TITLES, month, self.params
         )

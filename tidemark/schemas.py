@@ -1,7 +1,7 @@
 """Schemas of the source tables.
 
-Declared at read for dimensions and model output. Record files and the history keep the types they were
-delivered with, because their dates come as dates, timestamps or text.
+Declared at read for dimensions and model output. Record files and the history are brought to their schemas after the
+read, days excepted, which come as dates, timestamps or text.
 """
 
 from __future__ import annotations
