@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_near_copies import first_of_near_copies
-from tidemark.llm import licenses, mixing, nearest, preferences
+from tidemark.llm import language_id, licenses, mixing, nearest, preferences
 from tidemark.llm.license_texts import TEMPLATES, VERSIONED
 from tidemark.llm.pages import extract, main_text
 from tidemark.llm.queries import ORACLES, QUERIES
@@ -339,16 +339,25 @@ def test_mix_meets_targets_exactly(spark, docs_of, seed):
 
 def test_copies_take_the_words_told(spark, docs_of):
     rows = [(k, f"  one\ttwo {k}\n three ", "en", s) for k, s in enumerate("aaaabbbbcc")] + [(None, None, None, None), (20, "", "en", "a")]
-    frame = docs_of(rows, "target")
-    mixed = mixing.mix(frame)
-    words = {}
-    copies = mixing.copies(frame, mixed)
-    assert copies.columns == frame.columns
-    for r in copies.collect():
-        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
-        assert r.n_chars == len(r.text) and rows[r.doc_id][1].startswith(r.text)
-    assert words == {r.doc_id: r.taken for r in mixed.collect() if r.taken}
-    assert mixing.mix(docs_of([])).count() == 0
+    for name in ("target", "_size", "size", "taken", "words", "kept"):
+        frame = docs_of(rows, name)
+        words = {}
+        copies = mixing.mixed_copies(frame)
+        assert copies.columns == frame.columns
+        for r in copies.collect():
+            words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+            assert r.n_chars == len(r.text) and rows[r.doc_id][1].startswith(r.text) and r[name] == "x"
+        assert words == {r.doc_id: r.taken for r in mixing.mix(frame).collect() if r.taken}
+    assert mixing.mix(docs_of([])).count() == mixing.mixed_copies(docs_of([])).count() == 0
+
+
+def test_identified_documents_keep_columns_of_any_name(docs_of):
+    rows = [(k, "the cat and the dog" if k % 2 else "der Hund und die Katze", ("en" if k % 2 else "de"), "s") for k in range(40)]
+    for name in ("lang_pred", "score", "_score"):
+        frame = docs_of([*rows, (99, "12", None, "s"), (98, "the dog", None, "s")], name)
+        kept = language_id.only_identified(frame)
+        assert kept.columns == frame.columns and {r[name] for r in kept.collect()} == {"x"}
+        assert {r.doc_id: r.lang for r in kept.collect() if r.doc_id > 90} == {98: "en"}
 
 
 def test_each_row_of_an_id_has_its_own_share(spark, docs_of, tmp_path):

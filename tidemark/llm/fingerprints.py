@@ -2,8 +2,10 @@
 
 The lexicon keeps terms within a band of inverse document frequency, counted over all documents. A document's distinct
 terms in the lexicon are sorted, and hashed once for each of several random subsets of the lexicon. Subsets come in
-several sizes, from a half of the lexicon to a two-thousandth: large ones change with any edit, small ones outlast
-larger edits, so the share of equal hashes tells how alike two texts are.
+sizes from a half of the lexicon to a 4096th: large ones change with any edit, small ones outlast larger edits, so the
+share of equal hashes tells how alike two texts are. Of a size, subsets count that hold a term of either text, and the
+more, the fewer of them do: where a subset mostly holds one term, the share of equal ones is that of common terms.
+Which sizes these are depends on the texts' lengths, so there are as many subsets of every size.
 
 The lexicon is held by hashed term: terms fall into a fixed number of slots, and a slot's document frequency is that
 of the terms in it together. So what is sent to the workers is a bitmap of fixed size, however many terms there are.
@@ -36,18 +38,21 @@ from tidemark.llm.common import slices
 #: Slots of the hashed lexicon, as a power of two.
 SLOT_BITS = 22
 #: Subsets by size: a size is minus a power of two, and there are so many subsets of it.
-SUBSETS = {1: 2, 4: 6, 6: 12, 8: 16, 10: 16, 12: 8}
+SUBSETS = {1: 2} | dict.fromkeys(range(2, 13), 10)
 #: Hexadecimal digits of one subset's hash; zero if it has no term of the text.
-DIGITS = 8
+DIGITS = 4
+#: Terms that are drawn for at a time.
+TERMS_AT_ONCE = 1 << 15
 #: Ranges of ids at most, whose ends the driver holds.
 MOST_RANGES = 1 << 14
 
 _TERM = re.compile(r"\w+")
 _POWERS = np.repeat(list(SUBSETS), list(SUBSETS.values()))
-_SALTS = np.random.default_rng(11).integers(1 << 63, size=len(_POWERS), dtype=np.uint64) | np.uint64(1)
-_LIMITS = np.array([1 << (64 - int(p)) for p in _POWERS], np.uint64)
-#: A subset weighs as much as it is rare, so that subsets of a few terms decide, as they estimate shared terms best.
-_WEIGHTS = 2.0**_POWERS
+#: A product of a term's hash and a salt decides for four subsets, by 16 of its bits each.
+_SALTS = np.random.default_rng(11).integers(1 << 63, size=-(-len(_POWERS) // 4), dtype=np.uint64) | np.uint64(1)
+_LIMITS = np.array([1 << (16 - int(p)) for p in _POWERS], np.uint16)
+#: The first subset of each size, and what one of a size weighs at least of which all hold terms.
+_FIRSTS, _LEAST_WEIGHT = np.concatenate([[0], np.cumsum(list(SUBSETS.values()))[:-1]]), 0.02
 
 
 def terms(text: str) -> list[str]:
@@ -95,26 +100,40 @@ def lexicon(documents: DataFrame, lowest_idf: float, highest_idf: float) -> np.n
     return np.packbits(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
+def in_subsets(hashes: np.ndarray) -> np.ndarray:
+    """A row for each subset, telling which of the terms it holds."""
+    drawn = hashes * _SALTS[:, None]
+    drawn = (drawn ^ (drawn >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    drawn ^= drawn >> np.uint64(32)
+    lanes = drawn.astype("<u8").view("<u2").reshape(len(_SALTS), -1, 4).transpose(0, 2, 1)
+    return lanes.reshape(4 * len(_SALTS), -1)[: len(_LIMITS)] < _LIMITS[:, None]
+
+
 def fingerprint(text: str, kept: np.ndarray) -> np.ndarray:
-    """A 32-bit hash for each subset. `kept` says for each slot whether it is in the lexicon."""
+    """A 16-bit hash for each subset. `kept` says for each slot whether it is in the lexicon."""
     hashes = term_hashes(terms(text))
     in_band = hashes[kept[slots(hashes)]] if len(hashes) else hashes
     hashes = in_band if len(in_band) else hashes
     if not len(hashes):
-        return np.full(len(_SALTS), zlib.crc32(text.encode()) or 1, ">u4")
-    drawn = hashes * _SALTS[:, None]
-    subset, term = np.nonzero((drawn ^ (drawn >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) < _LIMITS[:, None])
-    chosen = hashes[term].tobytes()
-    ends = (8 * np.searchsorted(subset, np.arange(len(_SALTS) + 1))).tolist()
+        return np.full(len(_LIMITS), zlib.crc32(text.encode()) & 0xFFFF or 1, ">u2")
+    starts = range(0, len(hashes), TERMS_AT_ONCE)
+    pieces = [np.nonzero(in_subsets(hashes[start : start + TERMS_AT_ONCE])) for start in starts]
+    subset = np.concatenate([held for held, _ in pieces])
+    term = np.concatenate([place + start for start, (_, place) in zip(starts, pieces)])
+    order = np.argsort(subset, kind="stable")  # terms stay sorted within a subset
+    subset, chosen = subset[order], hashes[term[order]].tobytes()
+    ends = (8 * np.searchsorted(subset, np.arange(len(_LIMITS) + 1))).tolist()
     # Of a subset with terms the hash is not zero.
-    return np.array([(zlib.crc32(chosen[a:b]) or 1) if a < b else 0 for a, b in zip(ends, ends[1:])], ">u4")
+    return np.array([(zlib.crc32(chosen[a:b]) & 0xFFFF or 1) if a < b else 0 for a, b in zip(ends, ends[1:])], ">u2")
 
 
 def likeness(one: np.ndarray, other: np.ndarray) -> float:
     """The weighted share of equal hashes among subsets in which either text has terms."""
     either = (one != 0) | (other != 0)
-    total = _WEIGHTS[either].sum()
-    return float(_WEIGHTS[either & (one == other)].sum() / total) if total else float((one == other).all())
+    held = np.add.reduceat(either, _FIRSTS, dtype=np.float64) / list(SUBSETS.values())
+    weights = np.repeat(np.maximum(_LEAST_WEIGHT, 1 - held**4), list(SUBSETS.values())) * either
+    total = weights.sum()
+    return float(min(1.0, weights[one == other].sum() / total)) if total else float((one == other).all())
 
 
 def edited(text: str, following: str) -> str:

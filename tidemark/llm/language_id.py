@@ -197,6 +197,14 @@ def only_identified(documents: DataFrame) -> DataFrame:
     Rejected are texts that are null, have no letter, or share no n-gram with any landmark.
     """
     columns = documents.columns
-    found = predict(documents, train(documents, ~held_out()), columns, ("_lang_pred", "_score"))
-    stays = found.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_score") > 0))
-    return stays.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*columns)
+    names = [_free(name, columns) for name in ("lang_pred", "score")]
+    found = predict(documents, train(documents, ~held_out()), columns, tuple(names))
+    stays = found.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) > 0))
+    return stays.withColumn("lang", F.coalesce("lang", names[0])).select(*columns)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name

@@ -103,43 +103,26 @@ def mix(
 def mixed_copies(
     documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 0
 ) -> DataFrame:
-    """The mix itself, as `copies` describes it, for any rows: each has its own share, whatever ids they have.
+    """The mix itself: each row as often as it is taken, the last time with only its first words if cut.
 
-    Where ids aren't null, shares are those of `mix`. Rows without an id have a key of their text's hash.
+    A cut text ends after the last word taken; rows of which no word is taken, or that have none, are left out. Where ids aren't null, shares are those of `mix`. Rows without an id have a key of their text's hash.
     """
     of_text = F.md5(F.concat(F.lit(f"{seed}:t"), F.sha2(F.coalesce("text", F.lit("")), 256)))
     key = F.when(F.col("doc_id").isNull(), of_text).otherwise(random_key("doc_id", seed))
     row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
     order = [F.col("kept.doc_id"), F.col("size"), F.col("kept.text")]
-    placed = _placed(documents, key, row, order, weights, share, most).where("taken > 0")
-    rows = placed.select(F.col("size").alias("_size"), F.col("taken").alias("_taken"), "kept.*")
-    return _repeated(rows, documents.columns)
-
-
-def copies(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, the last time with only its first words if cut.
-
-    A cut text ends after the last word taken; documents of which nothing is taken are left out. `mixed` has doc_id,
-    size and taken, by which ids must be unique and not null; `mixed_copies` takes any rows. Documents of which no word
-    is taken because they have none are left out as well.
-    """
-    shares = mixed.where(F.col("taken") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")
-    )
-    return _repeated(documents.join(shares.distinct(), F.col("doc_id").eqNullSafe(F.col("_id"))), documents.columns)
-
-
-def _repeated(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows with _size and _taken, both above 0, as often as they are taken, with the columns named."""
-    whole = (F.col("_taken") / F.col("_size")).cast("int")
-    part = (F.col("_taken") % F.col("_size")).cast("int")
-    counts = F.concat(F.array_repeat(F.col("_size").cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array()))
-    taken = rows.withColumn("_words", F.explode(counts))
-    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_words")), "")
-    text = F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text"))
-    kept = [c for c in columns if c not in ("text", "n_chars")]
-    return taken.select(*kept, text.alias("text")).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    rows = _placed(documents, key, row, order, weights, share, most).where("taken > 0").select("size", "taken", "kept")
+    whole = (F.col("taken") / F.col("size")).cast("int")
+    part = (F.col("taken") % F.col("size")).cast("int")
+    counts = F.concat(F.array_repeat(F.col("size").cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array()))
+    taken = rows.withColumn("words", F.explode(counts))
+    pieces = F.split("kept.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("words")), "")
+    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("kept.text"))
+    taken = taken.withColumn("text", text)
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    # Columns stay within `kept` until here, so none of theirs meets one of the mix.
+    return taken.select(*(made[c].alias(c) if c in made else F.col(f"kept.`{c}`") for c in documents.columns))
 
 
 #: The result as SQL, written from the rule: the level is found by trying each source as the last to reach its bound.
