@@ -79,6 +79,9 @@ def year_in_text(text: Column) -> Column:
     return F.regexp_extract(text.cast("string"), r"(\d{4})", 1).try_cast("int")
 
 
+# Fixed values in the next functions: the report's signs, icons, colour names and sentence parts.
+
+
 def delta_label(delta: Column) -> Column:
     """Signed percent for a card."""
     number = plain_number(delta)

@@ -216,6 +216,7 @@ def indicator_growth_table(
     rate = F.bround(F.try_divide(now - before, before) * 100, 0)
     sign = F.when(rate > 0, F.lit("+")).otherwise(F.lit(""))
     growth = F.coalesce(F.concat(sign, rate.cast("bigint").cast("string"), F.lit(" %")), F.lit(NO_DATA))
+    # Fixed value: the heading's wording.
     header = F.concat(F.lit("Enero-\n"), sentence_case(F.lit(month)))
     return melt(wide, [], cells, "indicador").select(
         "indicador",

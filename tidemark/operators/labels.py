@@ -56,6 +56,7 @@ def report_labels(run_dates: DataFrame, title: str = "Consultas totales", first_
         (F.col("num_semana") * F.lit(100.0) / F.lit(float(WEEKS_PER_YEAR))).alias("pct_al_dia"),
         F.date_format(corte, "dd_MM_yyyy").alias("fecha_corte_archivo"),
         month_name(corte).alias("mes_grafica_nombre"),
+        # The wording of the report's texts, here and in the titles below.
         F.concat(
             F.lit("Semana del "), from_day, F.lit(" al "), _day_of_month(corte), F.lit(" (semana "), week, F.lit(")")
         ).alias("fecha_portada"),
