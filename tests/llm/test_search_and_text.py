@@ -5,6 +5,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_near_copies import first_of_near_copies
@@ -83,6 +84,58 @@ def test_index_finds_every_code_within_a_radius():
             assert index.within(code, radius).tolist() == np.flatnonzero(distance <= radius).tolist()
 
 
+def clustered(rows, size=64, clusters=200, apart=0.04, seed=3):
+    """Unit vectors around centres, in float32; every third row is one and the same vector."""
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(clusters, size))
+    vectors = centres[draw.integers(clusters, size=rows)] + draw.normal(size=(rows, size)) * apart * size**0.5
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    vectors[::3] = vectors[0]
+    return vectors
+
+
+def test_the_index_prunes_where_vectors_lie_in_clusters(spark, monkeypatch):
+    vectors = clustered(6000)
+    ids = np.arange(len(vectors))
+    frame = spark.createDataFrame([(int(k), v.tolist(), 0) for k, v in zip(ids, vectors)], F32).cache()
+    met, asked, in_blocks, meetings = [], [], [], nearest.meetings
+
+    def counted(classes, queries, radius, substrings):
+        found = meetings(classes, queries, radius, substrings)
+        met.append(found.count())
+        asked.append(classes.count() * queries.count())
+        return found
+
+    scan = nearest._by_blocks
+    monkeypatch.setattr(nearest, "meetings", counted)
+    monkeypatch.setattr(nearest, "_by_blocks", lambda rows, queries, *rest: in_blocks.append(queries.count()) or scan(rows, queries, *rest))
+    found = {}
+    for r in nearest.nearest(frame, frame.vec_id % 100 == 0).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    expected = brute(ids, vectors.astype(np.float64), ids[ids % 100 == 0])
+    hits = sum(len({v for _, v, _ in found[q]} & {v for v, _ in near}) for q, near in expected.items())
+    assert hits >= 0.95 * sum(map(len, expected.values()))
+    assert met and met[0] < 0.1 * asked[0]  # before codes are verified
+    assert sum(in_blocks) <= 0.1 * len(expected)
+    # Of equal vectors the smallest ids come first.
+    assert [v for _, v, _ in sorted(found[300])] == [3 * k for k in range(10)]
+
+
+def test_meetings_hold_every_code_within_the_radius(spark):
+    draw = np.random.default_rng(4)
+    base = draw.integers(1 << 16, size=(20, 8), dtype=np.uint16)
+    flips = (1 << draw.integers(16, size=(150, 8))).astype(np.uint16) * (draw.random((150, 8)) < 0.6).astype(np.uint16)
+    codes = base[draw.integers(20, size=150)] ^ flips
+    words = [row.tolist() for row in np.ascontiguousarray(codes).view(np.int64)]
+    classes = spark.createDataFrame([(k, c) for k, c in enumerate(words)], "class long, code array<long>")
+    asked = spark.createDataFrame([(k, 0, c) for k, c in enumerate(words[:12])], "query_id long, mark long, code array<long>")
+    for radius in (0, 3, 7, 8, 12, 23):
+        met = nearest.meetings(classes, asked, radius, 8).where(F.col("bits") <= radius)
+        found = {(r.query_id, r["class"]) for r in met.collect()}
+        apart = np.bitwise_count(codes[:12, None] ^ codes[None]).sum(2)
+        assert found == {(int(a), int(b)) for a, b in zip(*np.nonzero(apart <= radius))}
+
+
 def test_licence_spans(spark, docs_of):
     notice = TEMPLATES["apache-2.0-notice"]
     mit = TEMPLATES["mit"]
