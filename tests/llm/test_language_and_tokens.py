@@ -116,3 +116,62 @@ def test_language_ignores_label_source_and_id(spark, docs_of):
     one = language_id.predict(docs_of([(5, "the dog", "en", "a")]), model, ["doc_id"]).first()
     other = language_id.predict(docs_of([(5000, "the dog", "de", "b")]), model, ["doc_id"]).first()
     assert one[1:] == other[1:]
+
+
+def words_of(seed, n=400, alphabet="abcdefghijklmnopqrstuvwxyz"):
+    """Words of an invented language, with letters of its own preference."""
+    draw = random.Random(seed)
+    weights = [draw.random() ** 3 for _ in alphabet]
+    return ["".join(draw.choices(alphabet, weights, k=draw.randint(2, 8))) for _ in range(n)]
+
+
+def test_many_labels_fit_in_a_bounded_sample(spark, docs_of):
+    draw, languages = random.Random(3), [f"l{k:03}" for k in range(500)]
+    words = {language: words_of(k, 60) for k, language in enumerate(languages)}
+    rows = [(20 * k + n, " ".join(draw.choices(words[language], k=30)), language, "s") for k, language in enumerate(languages) for n in range(6)]
+    frame = docs_of(rows)
+    sample = language_id.labelled_sample(frame, ~language_id.held_out(), 400, 1 << 16, 512, 2048)
+    assert sample.count() <= 2 * 2048
+    few = language_id.labelled_sample(frame, ~language_id.held_out(), 400, 1 << 16, 7, 2048).collect()
+    assert len({r.lang for r in few}) == 7
+    model = language_id.train(frame, ~language_id.held_out())
+    assert len(model.languages) >= 490 and len(model.sizes) >= len(model.languages)
+    told = {r.doc_id: r.lang_pred for r in language_id.predict(frame, model, ["doc_id"]).collect()}
+    assert np.mean([told[k] == language for k, _, language, _ in rows if language in model.languages]) >= 0.95
+
+
+def test_long_texts_keep_their_score(spark, docs_of):
+    draw = random.Random(8)
+    cjk = [chr(c) for c in range(0x4E00, 0x9000)]
+    own = {"aa": words_of(1, 4000), "bb": words_of(2, 4000), "zh": ["".join(draw.choices(cjk[:6000], k=3)) for _ in range(4000)]}
+    rows = [(k, " ".join(draw.choices(own[language], k=120)), language, "s") for k, language in enumerate(["aa", "bb", "zh"] * 60)]
+    model = language_id.train(docs_of(rows), ~language_id.held_out())
+    texts = [(n, " ".join(draw.choices(own[language], k=size)), language, "s") for n, (language, size) in enumerate((a, b) for a in own for b in (120, 300_000))]
+    found = {r.doc_id: r for r in language_id.predict(docs_of(texts), model, ["doc_id"]).collect()}
+    for short, long in ((0, 1), (2, 3), (4, 5)):
+        assert found[short].lang_pred == found[long].lang_pred == texts[short][2]
+        assert found[long].score >= found[short].score - 0.1
+
+
+def test_kernels_are_those_of_sets_of_ngrams():
+    """Common n-grams over the geometric mean of sizes, counted with plain sets."""
+    texts = odd_texts(40, 12) + ["der Hund und die Katze", "the cat and the dog", "x" * 300]
+
+    def grams(text):
+        text = "".join(c if c.isalpha() else " " for c in text.lower())
+        text = " " + " ".join(text.split()) + " " if text.strip() else ""
+        return {text[i : i + n] for n in range(1, 5) for i in range(len(text) - n + 1)} - {" "}
+
+    texts = [t for t in texts if any(c.isalpha() for c in t)]
+    model = language_id.fit(texts, ["a", "b"] * (len(texts) // 2) + ["a"] * (len(texts) % 2), landmarks=9)
+    chosen = [texts[k] for turn in range(9) for k in (2 * turn, 2 * turn + 1)][:9]
+    ngrams, places, apart = language_id.NGrams(), model.places(), []
+    for text in texts:
+        slots = ngrams(text)
+        assert len(slots) == len(set(slots.tolist())) == len(grams(text))
+        kernel = model.kernel(slots, places)
+        for value, landmark in zip(kernel, chosen):
+            a, b = grams(text), grams(landmark)
+            apart.append(abs(value - len(a & b) / (len(a) * len(b)) ** 0.5))
+    # Two n-grams share a slot now and then.
+    assert max(apart) < 0.05 and np.mean(np.array(apart) > 1e-6) < 0.01

@@ -9,8 +9,8 @@ match crosses such a place. So chunks are encoded as they would be within the te
 Ids are kept packed, as little-endian unsigned 32-bit integers. Decoding looks every id up in a table of bytes and
 joins the bytes before any character is formed, so characters that are split over tokens come out whole.
 
-Null and empty texts encode to no ids. Rows stay as they are: repeated rows give repeated results, and columns other
-than the ones named are ignored. Text that is one match of any length goes to the library as one chunk.
+Null and empty texts encode to no ids. Rows stay as they are: repeated rows give repeated results, an empty table
+none, and columns other than the ones named are ignored. Text that is one match of any length goes to the library as one chunk.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ and split by a pattern. For texts below U+0530 this is done here in bulk; for ot
 splitter are asked, since libraries differ in their Unicode versions. Words come back often, so a worker remembers
 counts of short ones; the memory is bounded and results do not depend on it.
 
-Null and empty texts have 0 bytes and 0 tokens. Repeated rows give repeated results; other columns are ignored.
+Null and empty texts have 0 bytes and 0 tokens. Repeated rows give repeated results, an empty table none; other columns
+are ignored.
 """
 
 from __future__ import annotations
