@@ -450,7 +450,7 @@ def same(spark_frame, expected):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles_on_whole_tables(spark, name):
-    names = ("documents", "conversations")
+    names = ("documents", "conversations", "benchmark")
     tables = {t: spark.read.parquet(f"{DATA}/{t}.parquet") for t in names}
     same(QUERIES[name](spark, DATA), ran(ORACLES[name], **tables))
 
