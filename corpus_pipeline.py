@@ -30,6 +30,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles alike by 0.8 or more.
 
+    SimHash finds the nearest of them, by fingerprints at most two bits apart, each pair verified; prefixes of shingles
+    find the others among the components that SimHash leaves.
     That of the smallest id stays, one of its repeated rows, and rows without an id only where their group has no id.
     """
     return near_copies.without_near_copies(docs.select(*COLUMNS))

@@ -9,6 +9,7 @@ import pytest
 
 from tidemark.llm import near_copies
 from tidemark.llm.common import bitmap, in_bitmap
+from tests.llm.test_fingerprints import plain_components, plain_simhash
 
 DATA = "/root/testdata/sf0.01"
 
@@ -176,3 +177,28 @@ def test_appended_and_replaced_blocks(spark, docs_of):
     sets = list(map(shingle_set, texts))
     assert all(0.8 <= len(a & b) / len(a | b) <= 0.851 for a, b in zip(sets[::2], sets[1::2]))
     assert groups_of(docs_of(texts)) == [[2 * k, 2 * k + 1] for k in range(120)]
+
+
+def test_simhash_groups_without_lookups(spark, docs_of, monkeypatch):
+    draw = random.Random(14)
+    texts = []
+    for k in range(40):  # one edit of 600 words: about 2 bits of 64
+        base = [f"w{draw.randrange(10**6)}" for _ in range(600)]
+        texts += [base, changed(base, 1, draw), changed(base, 1, draw)]
+    # Equal fingerprints without likeness: a line repeated decides all bits, the rest of the texts differs.
+    line = [f"l{k}" for k in range(9)]
+    for k in range(3):
+        texts.append(line * 40 + [f"r{k}x{j}" for j in range(12)])
+    texts = [" ".join(t) for t in texts]
+    prints = {k: plain_simhash(t) for k, t in enumerate(texts)}
+    near = plain_components(prints)
+    assert near[120] == near[121] == near[122]
+    near |= {k: k for k in (120, 121, 122)}  # verified, and not alike
+    expected = {}
+    for k, root in near.items():
+        expected.setdefault(root, set()).add(k)
+    assert 20 < sum(len(g) > 1 for g in expected.values()) and len(expected) > 60
+    assert groups_of(docs_of(texts)) == brute_groups(texts)
+    lookups = near_copies._buckets
+    monkeypatch.setattr(near_copies, "_buckets", lambda *given: lookups(*given).where("false"))
+    assert groups_of(docs_of(texts)) == sorted(map(sorted, expected.values()))

@@ -1,8 +1,12 @@
-"""Near copies, exactly: prefix filtering over word shingles, verified, leaders first.
+"""Near copies: SimHash first, then exactly what it leaves apart, by prefix filtering over word shingles, leaders first.
 
 Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of at least `similarity`
 (0.8); groups are the connected components of all such pairs, and no such pair is left out.
 
+Texts whose SimHash fingerprints, those of operator 7, differ in at most `radius` bits (2) are met by ball hashing as
+there, verified by their shingles and joined to components. Fingerprints that near are rare below a similarity of some
+0.95, so the components are then looked for in one another by shingles, as follows.
+
 Shingles have one order for all texts, common ones last. Of two similar sets with n shingles each, at least one of the
 first n - ceil(similarity n) + 1 of either is among those of the other, so texts are looked up by these prefixes only.
 Any order is right. How common a shingle is, is counted by all tasks in SLOTS of fixed size, of which each tells those
@@ -15,7 +19,7 @@ a bitmap, and once more for the result.
 Texts of the same words in the same order are one class. In each shingle's bucket all classes are verified with its
 leader first, the class that meets the most others over all its buckets. Of a text and very many near copies that is
 the text itself, as edits put rare shingles into the prefix. So pairs grow with the classes where a bucket ends up in
-one component. In all other buckets every pair of classes of different components is verified too, but those that
+one component; a class is not compared with a leader of its own component. In all other buckets every pair of classes of different components is verified too, but those that
 cannot be similar: by their sizes, by what can be left in common after the shingle's place in both, by how many shingles
 of each part of their hashes' range they can share, or because their Jaccard distances to the leader differ by more than theirs may (it is a metric). Components don't change by leaving
 out pairs inside one. That last step grows with the square of a bucket's classes in the worst case, as when many texts
@@ -37,6 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import simhash
 from tidemark.llm.common import ROWS_AT_ONCE, Scratch, bitmap, in_bitmap, rows_per_batch, slices, written
 from tidemark.llm.components import components
 
@@ -118,11 +123,11 @@ def counts_by_part(hashes: np.ndarray) -> np.ndarray | None:
 
 
 def _marked(documents: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """doc_id, _near_key, _near_text, _near_class, _near_n (distinct shingles), _near_prefix and _near_counts, written."""
+    """doc_id, _near_key, _near_text, _near_class, _near_n (distinct shingles), _near_prefix, _near_counts and _near_print, written."""
     levels = documents.sparkSession.sparkContext.broadcast(_levels(documents, shingle))
     kept = ["doc_id", "_near_key", "_near_text"]
-    names = ["_near_class", "_near_n", "_near_prefix", "_near_counts"]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int8())]
+    names = ["_near_class", "_near_n", "_near_prefix", "_near_counts", "_near_print"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -130,17 +135,18 @@ def _marked(documents: DataFrame, shingle: int, similarity: float, scratch: Scra
             for text in batch.column("text").to_pylist():
                 whole, words = word_hashes(text or "")
                 hashes = shingles(words, shingle)
-                made.append((whole, len(hashes), prefix(hashes, levels.value, similarity), counts_by_part(hashes)))
+                first = prefix(hashes, levels.value, similarity)
+                made.append((whole, len(hashes), first, counts_by_part(hashes), simhash.fingerprint(text or "")))
             arrays = [pa.array(c, t) for c, t in zip(zip(*made), types)]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *arrays], [*kept, *names])
 
     schema = f"doc_id {dict(documents.dtypes)['doc_id']}, _near_key string, _near_text bigint, "
-    schema += "_near_class bigint, _near_n bigint, _near_prefix array<bigint>, _near_counts array<tinyint>"
+    schema += "_near_class bigint, _near_n bigint, _near_prefix array<bigint>, _near_counts array<tinyint>, _near_print bigint"
     return scratch.written(documents.select(*kept, "text").mapInArrow(run, schema), "marks")
 
 
 def _classes(marked: DataFrame, scratch: Scratch) -> DataFrame:
-    """class, n, counts, prefix and first, the smallest row; a prefix has the shingles that other rows' have too, and their places."""
+    """class, n, counts, print, prefix and first, the smallest row; a prefix has the shingles that other rows' have too, and their places."""
     met = marked.select(F.explode("_near_prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("rows"))
     met = scratch.written(met.where("rows > 1").select("shingle"), "met")
     shared = marked.sparkSession.sparkContext.broadcast(_bits_of(met))
@@ -163,7 +169,7 @@ def _classes(marked: DataFrame, scratch: Scratch) -> DataFrame:
     schema += ", _near_prefix array<struct<place: int, shingle: bigint>>"
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("_near_key").alias("key"), F.col("_near_text").alias("text")))
     # Equal in all rows of a class.
-    of_class = [F.any_value(f"_near_{c}").alias(c) for c in ("n", "prefix", "counts")]
+    of_class = [F.any_value(f"_near_{c}").alias(c) for c in ("n", "prefix", "counts", "print")]
     classes = marked.mapInArrow(run, schema).groupBy(F.col("_near_class").alias("class")).agg(first.alias("first"), *of_class)
     return scratch.written(classes, "classes")
 
@@ -173,6 +179,19 @@ def _bits_of(hashes: DataFrame) -> np.ndarray:
     return bitmap(hashes, min(MOST_BITS, max(16, (32 * hashes.count()).bit_length())))
 
 
+def _by_fingerprint(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) that connect all classes whose SimHash fingerprints differ in at most `radius` bits.
+
+    A fingerprint stands for its smallest class, with which its other classes are paired.
+    """
+    prints = scratch.written(classes.groupBy("print").agg(F.min("class").alias("least")), "prints")
+    same = classes.join(prints, "print").where("class > least").select(F.col("class").alias("u"), F.col("least").alias("v"))
+    linked = simhash.links(prints.select(F.col("print").alias("fp")), radius)
+    one, other = (prints.select(F.col("print").alias(c), F.col("least").alias(f"least_{c}")) for c in "uv")
+    near = linked.join(one, "u").join(other, "v")
+    return same.union(near.select(F.greatest("least_u", "least_v"), F.least("least_u", "least_v")))
+
+
 def _buckets(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """shingle, class, n, place, leader, leader_n: a row for each shingle of a prefix that other classes' have too."""
     rows = classes.select("class", "n", F.inline("prefix"))
@@ -236,6 +255,15 @@ def _linked(compared: DataFrame, similarity: float) -> DataFrame:
     return compared.where(F.col("common") >= similarity * F.col("either")).select("u", "v")
 
 
+def _with_leaders(buckets: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of a bucket's classes and its leader, but those in one component already."""
+    pairs = buckets.where((F.col("class") != F.col("leader")) & _sizes("n", "leader_n", similarity))
+    ends = pairs.select(F.greatest("class", "leader").alias("u"), F.least("class", "leader").alias("v")).distinct()
+    one, other = (rooted.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "uv")
+    apart = F.coalesce("root_u", "u") != F.coalesce("root_v", "v")
+    return ends.join(one, "u", "left").join(other, "v", "left").where(apart).select("u", "v")
+
+
 def _across(
     buckets: DataFrame, compared: DataFrame, rooted: DataFrame, similarity: float, scratch: Scratch
 ) -> DataFrame:
@@ -262,7 +290,7 @@ def _across(
 
 
 def near_copies(
-    documents: DataFrame, similarity: float = 0.8, shingle: int = 5, scratch: Scratch | None = None
+    documents: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 2, scratch: Scratch | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): doc_id, _near_key, _near_text and _near_class of every row, and class, first, root of every class.
 
@@ -271,24 +299,29 @@ def near_copies(
     """
     scratch = scratch or Scratch(documents.sparkSession, "near-copies")
     with rows_per_batch(documents.sparkSession, ROWS_AT_ONCE):
-        return _grouped(documents, similarity, shingle, scratch)
+        return _grouped(documents, similarity, shingle, radius, scratch)
 
 
-def _grouped(documents: DataFrame, similarity: float, shingle: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _grouped(
+    documents: DataFrame, similarity: float, shingle: int, radius: int, scratch: Scratch
+) -> tuple[DataFrame, DataFrame]:
     keyed = _keyed(documents)
     marked = _marked(keyed, shingle, similarity, scratch)
     classes = _classes(marked, scratch)
+    near = _compared(_by_fingerprint(classes, radius, scratch), keyed, classes, shingle, similarity, scratch)
+    links = _linked(near, similarity)
+    found = components(links, scratch.written)
+    # What SimHash leaves apart is looked up by shingles.
     buckets = _buckets(classes, scratch)
-    with_leader = buckets.where((F.col("class") != F.col("leader")) & _sizes("n", "leader_n", similarity))
-    ends = with_leader.select(F.greatest("class", "leader").alias("u"), F.least("class", "leader").alias("v")).distinct()
-    compared = _compared(ends, keyed, classes, shingle, similarity, scratch)
+    ends = _with_leaders(buckets, found, similarity)
+    compared = near.union(_compared(ends, keyed, classes, shingle, similarity, scratch))
     links = _linked(compared, similarity)
     across = _across(buckets, compared, components(links, scratch.written), similarity, scratch)
     rest = _linked(_compared(across, keyed, classes, shingle, similarity, scratch), similarity)
     rooted = components(links.union(rest), scratch.written)
     groups = classes.join(rooted, F.col("class") == F.col("node"), "left")
     groups = groups.select("class", "first", F.coalesce("root", "class").alias("root"))
-    return marked.drop("_near_n", "_near_prefix", "_near_counts"), groups
+    return marked.drop("_near_n", "_near_prefix", "_near_counts", "_near_print"), groups
 
 
 def without_near_copies(documents: DataFrame, **options) -> DataFrame:
