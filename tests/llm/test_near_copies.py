@@ -202,3 +202,25 @@ def test_simhash_groups_without_lookups(spark, docs_of, monkeypatch):
     lookups = near_copies._buckets
     monkeypatch.setattr(near_copies, "_buckets", lambda *given: lookups(*given).where("false"))
     assert groups_of(docs_of(texts)) == sorted(map(sorted, expected.values()))
+
+
+@pytest.mark.parametrize("slots", [True, False])
+def test_shared_passages_make_few_pairs(spark, docs_of, monkeypatch, slots):
+    draw = random.Random(15)
+    passages = [[f"p{draw.randrange(10**6)}" for _ in range(12)] for _ in range(40)]
+    texts = []
+    for k in range(800):  # a passage is in 20 texts, which aren't near copies
+        own = [f"w{draw.randrange(10**6)}" for _ in range(96)]
+        texts.append(" ".join(own[:50] + passages[k % 40] + own[50:]))
+    lookups, seen = near_copies._buckets, []
+
+    def buckets(*given):
+        seen.append(lookups(*given))
+        return seen[-1]
+
+    monkeypatch.setattr(near_copies, "_buckets", buckets)
+    if not slots:  # as where few texts of very many share a passage, which rough counts don't tell
+        monkeypatch.setattr(near_copies, "_levels", lambda *given: np.zeros(1 << near_copies.SLOT_BITS, np.uint8))
+    assert len(groups_of(docs_of(texts))) == 800
+    sizes = [r["count"] for r in seen[0].groupBy("shingle").count().collect()]
+    assert sum(k * (k - 1) // 2 for k in sizes) < 4 * 800

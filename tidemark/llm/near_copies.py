@@ -4,14 +4,16 @@ Two texts are near copies if the sets of their five-word shingles have a Jaccard
 (0.8); groups are the connected components of all such pairs, and no such pair is left out.
 
 Texts whose SimHash fingerprints, those of operator 7, differ in at most `radius` bits (2) are met by ball hashing as
-there, verified by their shingles and joined to components. Fingerprints that near are rare below a similarity of some
-0.95, so the components are then looked for in one another by shingles, as follows.
+there and verified by their shingles. Fingerprints that near are rare below a similarity of some 0.95; the pairs that
+SimHash leaves apart are looked up by shingles, as follows.
 
 Shingles have one order for all texts, common ones last. Of two similar sets with n shingles each, at least one of the
 first n - ceil(similarity n) + 1 of either is among those of the other, so texts are looked up by these prefixes only.
-Any order is right. How common a shingle is, is counted by all tasks in SLOTS of fixed size, of which each tells those
-that stand out from its mean. Most prefix shingles are in one text only and of no use: they are counted once, without
-their texts, and a bitmap of fixed size of those met twice lets the others be dropped where they are read.
+Any order is right. How common a shingle is, is counted by all tasks in slots of fixed number, and those whose sums
+stand out come late. The others' first ones are counted one by one, and those that three texts or more have come after the
+rest, so that a passage of few texts, which slots don't tell, is in the prefixes of hardly any. Most prefix shingles are in
+one text only and of no use: they are counted once, without their texts, and a bitmap of fixed size of those met twice lets
+the others be dropped where they are read.
 
 What is written are hashes: texts stay in their table, and are read again where a pair asks for its shingles, again by
 a bitmap, and once more for the result.
@@ -19,7 +21,7 @@ a bitmap, and once more for the result.
 Texts of the same words in the same order are one class. In each shingle's bucket all classes are verified with its
 leader first, the class that meets the most others over all its buckets. Of a text and very many near copies that is
 the text itself, as edits put rare shingles into the prefix. So pairs grow with the classes where a bucket ends up in
-one component; a class is not compared with a leader of its own component. In all other buckets every pair of classes of different components is verified too, but those that
+one component. In all other buckets every pair of classes of different components is verified too, but those that
 cannot be similar: by their sizes, by what can be left in common after the shingle's place in both, by how many shingles
 of each part of their hashes' range they can share, or because their Jaccard distances to the leader differ by more than theirs may (it is a metric). Components don't change by leaving
 out pairs inside one. That last step grows with the square of a bucket's classes in the worst case, as when many texts
@@ -38,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +50,8 @@ from tidemark.llm.components import components
 
 #: Slots of the rough counts of shingles, and most bits of a bitmap, as powers of two.
 SLOT_BITS, MOST_BITS = 22, 27
+#: Slots whose counts are sent as one row, and such rows in an Arrow batch.
+BLOCK, BLOCKS_AT_ONCE = 1 << 13, 64
 #: Parts of the range of hashes in which a text's shingles are counted.
 PARTS = 512
 #: Against rounding in bounds that must not lose a pair.
@@ -78,30 +83,68 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
 
 
 def _levels(documents: DataFrame, shingle: int) -> np.ndarray:
-    """For each slot the binary logarithm of how many texts' shingles fall into it, 0 where no task finds it common."""
+    """For each slot how many texts' shingles fall into it, in steps of half a binary logarithm, 0 where it doesn't stand out.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every task sends all its counts, packed, as a shingle rare in each task may be common in all; they are added in blocks.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 np.add.at(counts, _slots(shingles(word_hashes(text or "")[1], shingle)), 1)
-        common = np.flatnonzero(counts > 8 + 4 * counts.mean())
-        for start in range(0, len(common), 1 << 16):
-            used = common[start : start + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["slot", "n"])
+        blocks = counts.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        for start in range(0, len(used), BLOCKS_AT_ONCE):
+            places = used[start : start + BLOCKS_AT_ONCE]
+            packed = [pa.compress(blocks[k].tobytes(), "lz4", asbytes=True) for k in places]
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(packed, pa.binary())], ["place", "packed"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for place, packed in zip(batch.column("place").to_pylist(), batch.column("packed")):
+                block = np.frombuffer(pa.decompress(packed.as_buffer(), 4 * BLOCK, "lz4"), np.uint32)
+                sums[place] = sums[place] + block if place in sums else block.astype(np.int64)
+        for place, block in sums.items():
+            packed = pa.compress(_standing_out(block).tobytes(), "lz4", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([packed], pa.binary())], ["place", "packed"])
+
+    schema = "place bigint, packed binary"
+    # At most one row a block, whatever the data.
+    found = documents.select("text").mapInArrow(count, schema).repartition("place").mapInArrow(add, schema).toArrow()
+    levels = np.zeros(((1 << SLOT_BITS) // BLOCK, BLOCK), np.uint8)
+    for place, packed in zip(found.column("place").to_pylist(), found.column("packed")):
+        levels[place] = np.frombuffer(pa.decompress(packed.as_buffer(), BLOCK, "lz4"), np.uint8)
+    return levels.reshape(-1)
+
+
+def _standing_out(counts: np.ndarray) -> np.ndarray:
+    """1 + 2 log2 of by how much each count exceeds the usual one, 0 where chance may do that."""
+    usual = np.median(counts)
+    over = counts - usual
+    return np.where(over > 4 * np.sqrt(usual) + 1, 1 + np.floor(2 * np.log2(np.maximum(over, 1))), 0).astype(np.uint8)
+
+
+def prefix(hashes: np.ndarray, levels: np.ndarray, similarity: float, often: np.ndarray | None = None) -> np.ndarray:
+    """The first of these sorted shingles by level and hash, of which sets similar enough share one at least; those in `often` come late."""
+    size = len(hashes) - int(np.ceil(similarity * len(hashes) - SLACK)) + 1 if len(hashes) else 0
+    ranks = levels[_slots(hashes)]
+    if often is not None:
+        ranks = np.maximum(ranks, in_bitmap(often, hashes))
+    return hashes[np.argsort(ranks, kind="stable")[:size]]
 
-    counted = documents.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    # At most one row a slot, whatever the data.
-    found = counted.select("slot", F.floor(F.log2("n")).cast("tinyint").alias("level")).toArrow()
-    levels = np.zeros(1 << SLOT_BITS, np.uint8)
-    levels[found.column("slot").to_numpy()] = found.column("level").to_numpy()
-    return levels
 
+def _often(documents: DataFrame, levels: Broadcast, shingle: int, similarity: float, scratch: Scratch) -> np.ndarray:
+    """A bitmap of the shingles that three texts or more have in their prefixes by the rough counts, which don't tell them."""
 
-def prefix(hashes: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles by level and hash, of which sets similar enough share one at least."""
-    size = len(hashes) - int(np.ceil(similarity * len(hashes) - SLACK)) + 1 if len(hashes) else 0
-    return hashes[np.lexsort((hashes, levels[_slots(hashes)]))[:size]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [prefix(shingles(word_hashes(text or "")[1], shingle), levels.value, similarity) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], ["shingle"])
+
+    rows = documents.select("text").mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("rows"))
+    return _bits_of(scratch.written(rows.where("rows > 2").select("shingle"), "often"))
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -124,7 +167,9 @@ def counts_by_part(hashes: np.ndarray) -> np.ndarray | None:
 
 def _marked(documents: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
     """doc_id, _near_key, _near_text, _near_class, _near_n (distinct shingles), _near_prefix, _near_counts and _near_print, written."""
-    levels = documents.sparkSession.sparkContext.broadcast(_levels(documents, shingle))
+    context = documents.sparkSession.sparkContext
+    levels = context.broadcast(_levels(documents, shingle))
+    often = context.broadcast(_often(documents, levels, shingle, similarity, scratch))
     kept = ["doc_id", "_near_key", "_near_text"]
     names = ["_near_class", "_near_n", "_near_prefix", "_near_counts", "_near_print"]
     types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.int64()]
@@ -135,7 +180,7 @@ def _marked(documents: DataFrame, shingle: int, similarity: float, scratch: Scra
             for text in batch.column("text").to_pylist():
                 whole, words = word_hashes(text or "")
                 hashes = shingles(words, shingle)
-                first = prefix(hashes, levels.value, similarity)
+                first = prefix(hashes, levels.value, similarity, often.value)
                 made.append((whole, len(hashes), first, counts_by_part(hashes), simhash.fingerprint(text or "")))
             arrays = [pa.array(c, t) for c, t in zip(zip(*made), types)]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *arrays], [*kept, *names])
@@ -255,13 +300,10 @@ def _linked(compared: DataFrame, similarity: float) -> DataFrame:
     return compared.where(F.col("common") >= similarity * F.col("either")).select("u", "v")
 
 
-def _with_leaders(buckets: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of a bucket's classes and its leader, but those in one component already."""
+def _with_leaders(buckets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of a bucket's classes and its leader."""
     pairs = buckets.where((F.col("class") != F.col("leader")) & _sizes("n", "leader_n", similarity))
-    ends = pairs.select(F.greatest("class", "leader").alias("u"), F.least("class", "leader").alias("v")).distinct()
-    one, other = (rooted.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "uv")
-    apart = F.coalesce("root_u", "u") != F.coalesce("root_v", "v")
-    return ends.join(one, "u", "left").join(other, "v", "left").where(apart).select("u", "v")
+    return pairs.select(F.greatest("class", "leader").alias("u"), F.least("class", "leader").alias("v"))
 
 
 def _across(
@@ -308,13 +350,9 @@ def _grouped(
     keyed = _keyed(documents)
     marked = _marked(keyed, shingle, similarity, scratch)
     classes = _classes(marked, scratch)
-    near = _compared(_by_fingerprint(classes, radius, scratch), keyed, classes, shingle, similarity, scratch)
-    links = _linked(near, similarity)
-    found = components(links, scratch.written)
-    # What SimHash leaves apart is looked up by shingles.
     buckets = _buckets(classes, scratch)
-    ends = _with_leaders(buckets, found, similarity)
-    compared = near.union(_compared(ends, keyed, classes, shingle, similarity, scratch))
+    ends = _by_fingerprint(classes, radius, scratch).union(_with_leaders(buckets, similarity)).distinct()
+    compared = _compared(ends, keyed, classes, shingle, similarity, scratch)
     links = _linked(compared, similarity)
     across = _across(buckets, compared, components(links, scratch.written), similarity, scratch)
     rest = _linked(_compared(across, keyed, classes, shingle, similarity, scratch), similarity)
